@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.functions.text import words
+from lakewarden.llm.wordcodes import Codes
 from lakewarden.runtime import cut, spread
 
 #: Most item words and item keys that are collected as filters (8 bytes each).
@@ -28,16 +28,6 @@ FILTER_LIMIT = 2_000_000
 BLOCK = 100_000
 
 
-class Codes(dict):
-    """Word -> 63-bit hash, remembered within a task."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word) >> 1
-        return code
-
-
 def embedding_plan(run: int, tables: int, sample: int, seed: int) -> list[list[tuple[int, np.int64]]]:
     """For each step of the walk, which tables sample it and with what multiplier."""
     rng = np.random.default_rng(seed)

@@ -7,12 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import leaks, mixing, percentiles, splitting
+from lakewarden.llm import leaks, mixing, nearcopies, overlaps, percentiles, splitting
 from lakewarden.runtime import table
 
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
 
 
+def _near_copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return nearcopies.near_copies(table(spark, d, "candidates"), "candidate_id", "content")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of candidates whose contents share at least 70 % of their words."""
+    pairs = nearcopies.expanded(*_near_copies(spark, d))
+    return pairs.select(F.col("a").alias("candidate_id_a"), F.col("b").alias("candidate_id_b"))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a candidate: its class and the number of other contents it is similar to."""
+    return nearcopies.classes(*_near_copies(spark, d)).withColumnRenamed("id", "candidate_id")
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlaps(table(spark, d, "qa_heldout").withColumnRenamed("id", "heldout"), table(spark, d, "qa"), "heldout", "id", "question")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.col("heldout").alias("heldout_id"), F.col("id").alias("qa_id"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping held-out questions, number and share, a held-out split and source."""
+    hit = _overlaps(spark, d).select("heldout").distinct().withColumn("hit", F.lit(1))
+    asked = table(spark, d, "qa_heldout").select(F.col("id").cast("string").alias("heldout"), "split", "source").distinct()
+    per = asked.join(hit, "heldout", "left").groupBy("split", "source").agg(F.count("*").alias("questions"), F.count("hit").alias("overlapping"))
+    return per.withColumn("share", F.col("overlapping") / F.col("questions"))
+
+
 def timings(spark: SparkSession, d: str, name: str, kind: str) -> DataFrame:
     """(trace_id, tenant_id, kind, policy_version, day, ms): each record once, however often it arrived."""
     rows = table(spark, d, name)
