@@ -27,6 +27,8 @@ SYMBOLS, CHUNKS, ERRORS = 40, 8, 1
 WIDTH = SYMBOLS // CHUNKS
 #: Guaranteed: all pairs whose signatures differ in at most so many symbols.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Pairs that meet are verified if they differ in at most so many symbols; an exact similarity of 0.7 beyond it is out of reach in practice.
+FAR = 26
 #: Words in more than this share of the records get less weight; their number is bounded by mean words / FRACTION.
 FRACTION = 0.001
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
@@ -67,8 +69,28 @@ def minima(element: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.nda
     return out
 
 
+def multisets(records: DataFrame) -> DataFrame:
+    """(id, elements): the sorted 32-bit hashes of a record's (word, occurrence) elements."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = Codes()
+        for b in batches:
+            rows = []
+            for i, text in zip(b["id"], b["text"]):
+                c = codes_of(text, memo) if text else np.zeros(0, np.int64)
+                if len(c):
+                    element = elements(c, np.zeros(len(c), np.int8))[0]
+                    rows.append((i, np.sort((element >> np.uint64(32)).astype(np.uint32)).tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "elements"])
+
+    return records.mapInPandas(run, "id long, elements binary")
+
+
+LANES = SYMBOLS // 8
+
+
 def profiles(records: DataFrame, common: dict[int, float]) -> DataFrame:
-    """(id, same, signature, elements) of (id, text) with at least one word; ``same`` identifies the word multiset."""
+    """(id, same, s0, s1, ...) of (id, text) with at least one word; ``same`` identifies the word multiset, the lanes hold 8 symbols each."""
     shared = records.sparkSession.sparkContext.broadcast((np.array(sorted(common), np.int64), np.array([common[c] for c in sorted(common)], np.float64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,14 +107,9 @@ def profiles(records: DataFrame, common: dict[int, float]) -> DataFrame:
                 weight[hit] = np.maximum(np.log(share[at[hit]]) / np.log(FRACTION), 0.02) ** 2
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             signature = minima(element, weight, first)
-            small = (element >> np.uint64(32)).astype(np.uint32)
-            rows = []
-            for i, row in enumerate(signature):
-                own = small[first[i] : first[i] + sizes[i]]
-                own.sort()
-                raw = own.tobytes()
-                rows.append((ids[i], xxhash.xxh3_128_digest(np.sort(element[first[i] : first[i] + sizes[i]]).tobytes()), row.tobytes(), raw))
-            return pd.DataFrame(rows, columns=["id", "same", "signature", "elements"])
+            same = [xxhash.xxh3_128_digest(np.sort(element[lo : lo + n]).tobytes()) for lo, n in zip(first.tolist(), sizes)]
+            lanes = signature.view(np.int64)
+            return pd.DataFrame({"id": ids, "same": same} | {f"s{i}": lanes[:, i] for i in range(LANES)})
 
         for b in batches:
             ids: list = []
@@ -110,18 +127,30 @@ def profiles(records: DataFrame, common: dict[int, float]) -> DataFrame:
             if ids:
                 yield flush(ids, parts)
 
-    return records.mapInPandas(run, "id long, same binary, signature binary, elements binary")
+    return records.mapInPandas(run, "id long, same binary, " + ", ".join(f"s{i} long" for i in range(LANES)))
+
+
+def differing(x: str, y: str) -> str:
+    """SQL for the number of symbols in which two signatures differ: the bits of each byte are gathered into its lowest."""
+    count = []
+    for i in range(LANES):
+        bits = f"({x}.s{i} ^ {y}.s{i})"
+        for shift in (4, 2, 1):
+            bits = f"({bits} | shiftrightunsigned({bits}, {shift}))"
+        count.append(f"bit_count({bits} & {0x0101010101010101}L)")
+    return " + ".join(count)
 
 
 def chunk_keys(representatives: DataFrame) -> DataFrame:
     """(rep, key): for every chunk and error pattern the hash of the symbols outside the errors."""
+    lanes = [f"s{i}" for i in range(LANES)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(17)
         factor = (rng.integers(1, 2**62, SYMBOLS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
         patterns = list(combinations(range(WIDTH), WIDTH - ERRORS))
         for b in batches:
-            symbols = np.frombuffer(b"".join(b["signature"]), np.uint8).reshape(len(b), SYMBOLS).astype(np.uint64) + np.uint64(1)
+            symbols = np.ascontiguousarray(b[lanes].to_numpy(np.int64)).view(np.uint8).reshape(len(b), SYMBOLS).astype(np.uint64) + np.uint64(1)
             products = symbols * factor
             keys = np.empty((len(b), CHUNKS * len(patterns)), np.int64)
             k = 0
@@ -131,7 +160,7 @@ def chunk_keys(representatives: DataFrame) -> DataFrame:
                     k += 1
             yield pd.DataFrame({"rep": np.repeat(b["rep"].to_numpy(np.int64), k), "key": keys.ravel()})
 
-    return representatives.select("rep", "signature").mapInPandas(run, "rep long, key long")
+    return representatives.select("rep", *lanes).mapInPandas(run, "rep long, key long")
 
 
 def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -146,13 +175,18 @@ def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: floa
     common, _ = frequent(rows.select("text"), FRACTION)
     base = cut(profiles(rows, common))
     members = base.select("id", "same").distinct()
-    reps = base.groupBy("same").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("elements").alias("elements"))
+    lanes = [f"s{i}" for i in range(LANES)]
+    reps = base.groupBy("same").agg(F.min("id").alias("rep"), *[F.first(s).alias(s) for s in lanes])
     members = members.join(reps.select("same", "rep"), "same").select("id", "rep")
-    # an id can stand for several multisets only if it carries several contents; its representative rows are then told apart by their signature
     keys = chunk_keys(reps)
-    candidates = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    profile = reps.select("rep", "signature", "elements")
-    both = candidates.join(profile.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("elements").alias("ea")), "a").join(profile.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("elements").alias("eb")), "b")
+    met = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    # far beyond DISTANCE the word sets cannot be similar enough; up to FAR the exact check decides
+    sign = reps.select("rep", *lanes)
+    near = met.join(sign.alias("p"), F.expr("a = p.rep")).join(sign.alias("q"), F.expr("b = q.rep")).where(f"{differing('p', 'q')} <= {FAR}").select("a", "b")
+    near = cut(near.distinct())
+    involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = multisets(rows.join(involved, "id", "left_semi")).distinct()
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -5,6 +5,7 @@ within both kinds. In that order the edit distance (insertions and deletions) of
 a similarity of s bounds it by ``k = n (1 - s) / s`` for a held-out question of n words, whatever was reordered. The held-out sequence is cut into
 k + 1 segments (single rare words, the common words in equal runs): k edits leave one of them whole. Training sequences offer their substrings of
 the lengths used; equal segments at positions at most k apart meet, an exact parity sketch discards most of them, and banded dynamic programming decides.
+Training substrings that equal no held-out segment stay at home, as long as the held-out keys are few enough to be handed to every task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm.leaks import FILTER_LIMIT, bounded_set
 from lakewarden.llm.wordcodes import Codes, codes_of, frequent
 from lakewarden.runtime import cut, spread
 
@@ -130,12 +132,16 @@ def overlaps(heldout: DataFrame, training: DataFrame, heldout_id: str, training_
     # segment lengths are small integers: at most the words of a question, and few in practice
     lengths = sorted(r[0] for r in held_cuts.select("length").distinct().collect())
 
+    wanted_b = train.sparkSession.sparkContext.broadcast(bounded_set(held_cuts, "key", FILTER_LIMIT))
+
     def substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = None if wanted_b.value is None else set(wanted_b.value.tolist())
         for b in batches:
             rows = []
             for same, raw, n, s0, s1 in zip(b["same"], b["words"], b["n"], b["sketch0"], b["sketch1"]):
                 w = np.frombuffer(raw, np.int64)
-                rows += [(same, n, s0, s1, start, key_of(w, start, length)) for length in lengths for start in range(n - length + 1)]
+                parts = ((start, key_of(w, start, length)) for length in lengths for start in range(n - length + 1))
+                rows += [(same, n, s0, s1, start, key) for start, key in parts if wanted is None or key in wanted]
             yield pd.DataFrame(rows, columns=[*kept, "start", "key"])
 
     train_parts = one(train).mapInPandas(substrings, "same binary, n int, sketch0 long, sketch1 long, start int, key long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import leaks, mixing, nearcopies, overlaps, percentiles, splitting
+from lakewarden.llm import leaks, mixing, nearcopies, overlaps, percentiles, scans, splitting
 from lakewarden.runtime import table
 
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
@@ -74,18 +74,27 @@ def p3_exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.summary(timings(spark, d, "layer2_results", "status"), ["kind"], "ms", error=None), ["kind"], QUANTILES, error=None)
 
 
-def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned candidates with their text as continuous paragraphs and what was repaired."""
+    return scans.repaired(table(spark, d, "candidates"), "candidate_id", "content")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_repaired(spark, d).select("candidate_id")
+
+
+def _item_windows(spark: SparkSession, d: str) -> DataFrame:
     return leaks.contained(table(spark, d, "documents"), table(spark, d, "heldout_passages"), "doc_id", "text", "item_id", "passage")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with at least 13 consecutive words of an item: the operator's windows that prove equal."""
-    return p6_windows(spark, d).where("edits = 0").select("item_id", "doc_id").distinct()
+    return _item_windows(spark, d).where("edits = 0").select("item_id", "doc_id").distinct()
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Which items leaked: documents with an equal or a nearly equal window, and the words of the item covered at most."""
-    per = p6_windows(spark, d).groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"), F.countDistinct("item_pos").alias("windows"))
+    per = _item_windows(spark, d).groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"), F.countDistinct("item_pos").alias("windows"))
     return per.groupBy("item_id").agg(F.count_if(F.col("edits") == 0).alias("exact_documents"), F.count_if(F.col("edits") > 0).alias("near_documents"), F.max("windows").alias("most_windows"))
 
 
