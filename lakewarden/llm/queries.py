@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import leaks, mixing, nearcopies, overlaps, percentiles, scans, splitting
+from lakewarden.llm import leaks, mixing, nearcopies, overlaps, percentiles, pii, scans, splitting
 from lakewarden.runtime import table
 
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
@@ -83,6 +83,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_repaired(spark, d).select("candidate_id")
 
 
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Records with personal information: what was found where, and the text with typed placeholders."""
+    parts = []
+    for origin, key, text in (("candidates", "candidate_id", "content"), ("query_responses", "response_id", "answer")):
+        found = pii.personal(table(spark, d, origin), key, text)
+        parts.append(found.select(F.lit(origin).alias("origin"), F.col(key).cast("long").alias("record_id"), "spans", "text"))
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row a record and kind of personal information in it."""
+    return p5_redacted(spark, d).select("origin", "record_id", F.explode(F.array_distinct("spans.kind")).alias("kind")).distinct()
+
+
 def _item_windows(spark: SparkSession, d: str) -> DataFrame:
     return leaks.contained(table(spark, d, "documents"), table(spark, d, "heldout_passages"), "doc_id", "text", "item_id", "passage")
 
