@@ -1,7 +1,8 @@
 """Training of the personal-information tagger with numpy: ``python -m lakewarden.llm.pii_train TABLE_DIR [OUT]``.
 
 Texts of ``candidates`` and ``query_responses`` are labelled by ``pii_labels``; all texts with spans and a third of the others (by hash)
-are cut into windows; one window in ten is held out and scored at the end. Bounds: MOST_TEXTS texts, EPOCHS passes.
+are cut into windows; one window in ten is held out and scored at the end. Bounds: MOST_TEXTS texts, EPOCHS passes. A text with spans is also read with its
+spans exchanged for others of their kind, so that every form meets every context.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import xxhash
 
 from lakewarden.llm import pii, pii_labels
 
-MOST_TEXTS, WORDS, EPOCHS = 20_000, 1_500, 20
-HIDDEN, EMBED, LENGTH, BATCH, RATE = 28, 32, 160, 128, 5e-3
+MOST_TEXTS, WORDS, EPOCHS = 20_000, 1_500, 14
+HIDDEN, EMBED, LENGTH, BATCH, RATE = 24, 32, 160, 128, 5e-3
 TAGS = len(pii_labels.KINDS) + 1
 
 
@@ -32,20 +33,39 @@ def vocabularies(texts: list[str]) -> tuple[list[str], set[str]]:
     return symbols, common
 
 
+def exchanged(text: str, spans: list, pool: dict[str, list[str]], rng: np.random.Generator) -> tuple[str, list]:
+    """The text with each span replaced by a random one of its kind, and the new spans."""
+    parts, new, at, length = [], [], 0, 0
+    for lo, hi, kind in spans:
+        other = pool[kind][rng.integers(len(pool[kind]))]
+        parts += [text[at:lo], other]
+        length += lo - at
+        new.append((length, length + len(other), kind))
+        length += len(other)
+        at = hi
+    return "".join(parts) + text[at:], new
+
+
 def samples(texts: list[str], vocabulary: dict[str, int], common: set[str], rng: np.random.Generator):
     xs, ys = [], []
-    for t in texts:
-        spans = pii_labels.label(t, common)
+    labelled = [(t, pii_labels.label(t, common)) for t in texts]
+    pool: dict[str, list[str]] = {k: [] for k in pii_labels.KINDS}
+    for t, spans in labelled:
+        for lo, hi, kind in spans:
+            pool[kind].append(t[lo:hi])
+    for t, spans in labelled:
         if not spans and xxhash.xxh3_64_intdigest(t) % 3:
             continue
-        for spelled in (False, True) if spans else (False,):  # once more with common words read by letters now and then
-            v = vocabulary if not spelled else {w: i for w, i in vocabulary.items() if rng.random() < 0.8}
-            symbols, starts, ends = pii.encode(t, v)
-            tags = np.zeros(len(symbols), np.int64)
-            s = np.array(starts)
+        original = (t, spans)
+        for copy in range(4 if spans else 1):
+            t, spans = original if copy in (0, 1) else exchanged(*original, pool, rng)
+            # now and then common words are read by letters
+            v = vocabulary if copy in (0, 2) else {w: i for w, i in vocabulary.items() if rng.random() < 0.8}
+            items, coded, x = pii.encode(t, pii.Encoder(v))
+            tags = np.zeros(len(x), np.int64)
+            s = pii.offsets(items, coded)[0]
             for lo, hi, kind in spans:
                 tags[(s >= lo) & (s < hi)] = pii_labels.KINDS.index(kind) + 1
-            x = np.array(symbols)
             for at in range(0, len(x), LENGTH - 30):
                 if at and len(x) - at <= 30:
                     break
