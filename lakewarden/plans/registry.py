@@ -29,3 +29,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    from lakewarden.plans import reporting, retrieval  # noqa: F401
+
+
+_load()
