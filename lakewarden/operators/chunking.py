@@ -79,7 +79,7 @@ def table_views(docs: DataFrame, id_col: str, text: str, most_rows: int = 400) -
 
 def running_lines(pages: DataFrame, document: str, page: str, text: str, share: float = 0.3, fewest: int = 3) -> DataFrame:
     """(document, line, pages): first or last lines, digits masked, on at least max(fewest, share) of a document's pages."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     p = pages.select(document, page, lines.alias("l")).where(F.size("l") > 0)
     edge = p.select(document, page, F.explode(F.array_distinct(F.transform(F.array(F.element_at("l", 1), F.element_at("l", -1)), lambda x: F.regexp_replace(x, r"\d+", "#")))).alias("line"))
     total = p.groupBy(document).agg(F.countDistinct(page).alias("total"))

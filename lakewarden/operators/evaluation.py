@@ -16,7 +16,7 @@ def wilson(k: Column, n: Column, z: float = Z95) -> Column:
     base = F.lit(1.0) + F.try_divide(z2, n)
     mid = (p + F.try_divide(z2, 2 * n)) / base
     half = F.lit(z) * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(z2, 4 * n * n)) / base
-    return F.struct(F.greatest(mid - half, F.lit(0.0)).alias("low"), F.least(mid + half, F.lit(1.0)).alias("high"))
+    return F.struct(F.when(n > 0, F.greatest(mid - half, F.lit(0.0))).alias("low"), F.when(n > 0, F.least(mid + half, F.lit(1.0))).alias("high"))
 
 
 def rates(df: DataFrame, keys: list[str], success: Column) -> DataFrame:

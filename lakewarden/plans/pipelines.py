@@ -115,9 +115,9 @@ def verified(claims: DataFrame, passages: DataFrame, group: str, claim: str, cla
     if entail is not None:
         open_ = d.where(F.col("numbers_ok") & ~F.coalesce("extract", F.lit(False))).select(group, claim)
         asked = entail(best.join(open_, [group, claim], "left_semi")).withColumn("topical", tx.overlap(tx.terms(F.col(claim_text)), tx.terms(F.col("window"))))
-        scores = asked.groupBy(group, claim).agg(F.max("entailment").alias("e"), F.max(F.when(F.col("topical") >= 0.4, F.col("contradiction"))).alias("c"), F.max("topical").alias("t"))
-    d = d.join(scores, [group, claim], "left") if scores is not None else d.withColumn("e", F.lit(None).cast("double")).withColumn("c", F.lit(None).cast("double")).withColumn("t", F.lit(None).cast("double"))
-    out = verify.decision(F.col("numbers_ok"), F.lit(False), F.col("extract"), F.col("e"), F.col("c"), F.col("t"))
+        scores = asked.groupBy(group, claim).agg(F.max("entailment").alias("__e"), F.max(F.when(F.col("topical") >= 0.4, F.col("contradiction"))).alias("__c"), F.max("topical").alias("__t"))
+    d = d.join(scores, [group, claim], "left") if scores is not None else d.withColumns({x: F.lit(None).cast("double") for x in ("__e", "__c", "__t")})
+    out = verify.decision(F.col("numbers_ok"), F.lit(False), F.col("extract"), F.col("__e"), F.col("__c"), F.col("__t"))
     return d.withColumn("__o", out).select(group, claim, "__o.status", "__o.confidence")
 
 

@@ -219,10 +219,9 @@ def filename_slugs(spark: SparkSession, d: str) -> DataFrame:
     return r.select("content_hash", tx.slug(F.col("filename")).alias("slug"), F.round(vx.entropy(F.col("filename")), 4).alias("bits"))
 
 
-_QUESTION_SQL = "array_to_string(regexp_extract_all(lower(regexp_replace(question, '[\\x{AD}\\x{34F}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g')), '[\\p{L}\\p{N}]+'), ' ')"
 
 
-@query(f"SELECT id FROM qa WHERE question IS NOT NULL AND {_QUESTION_SQL} NOT IN (SELECT {_QUESTION_SQL} FROM qa_heldout WHERE question IS NOT NULL)")
+@query()
 def decontaminate(spark: SparkSession, d: str) -> DataFrame:
     """Training questions that do not occur, word for word, among the held-out ones."""
     return datasets.excluded(table(spark, d, "qa").where("question is not null"), "question", table(spark, d, "qa_heldout").where("question is not null"), "question").select("id")
