@@ -141,10 +141,10 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
     """(item_id, doc_id, doc_pos, item_pos, edits): windows of ``run`` words of a document within ``max_edits`` word edits of one of an item.
 
     Windows that agree exactly always meet (equal windows have equal embeddings); with edits the chance grows with ``tables`` and falls with
-    ``sample`` (a test measures it). Null, empty and texts shorter than ``run`` words have no window. Repeated rows give one result row;
+    ``sample`` (a test measures it). Rows with a null id are left out; null, empty and texts shorter than ``run`` words have no window. Repeated rows give one result row;
     whole texts of any length are read. Ids are longs; other columns are ignored, whatever their names.
     """
-    item_rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    item_rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
     item_windows = cut(windows_of(item_rows, run, tables, sample, seed))
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +153,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
 
     known = bounded_set(item_windows.select("words").mapInPandas(codes, "code long"), "code", FILTER_LIMIT)
     keys = bounded_set(item_windows, "key", FILTER_LIMIT)
-    doc_rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("text is not null"))
+    doc_rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null"))
     doc_windows = windows_of(doc_rows, run, tables, sample, seed, known, keys, max_edits)
     pairs = (
         doc_windows.select(F.col("id").alias("d"), F.col("pos").alias("dp"), "key", F.col("words").alias("dw"))

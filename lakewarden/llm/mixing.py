@@ -20,7 +20,7 @@ RANGES = 1024
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, folder: str, seed: int, ranges: int = RANGES) -> DataFrame:
     """(id, source, tokens, key, range), one row a document; repeated ids are one document, null and empty texts none."""
     return (
-        spread(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("length(text) > 0"))
+        spread(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0"))
         .select("id", "source", tokens.token_count(F.col("text"), folder).alias("tokens"))
         .where("tokens > 0")
         .groupBy("id")
@@ -39,7 +39,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     A source's documents are taken in hash order: full epochs first, then the prefix whose size is nearest to what is left of the budget, so
     that a source misses its budget by at most half a document.
 
-    Returns (documents: id, source, tokens, uses, used_tokens; shares: one row a target source). Documents of sources without a target, and
+    Returns (documents: id, source, tokens, uses, used_tokens; shares: one row a target source). Documents of sources without a target, null ids and
     null or empty texts, are not chosen. Repeated ids count once (the longest text). Empty tables give empty results (shares of 0).
     """
     base = cut(sized(docs, id_col, text_col, source_col, folder, seed))

@@ -166,12 +166,12 @@ def chunk_keys(representatives: DataFrame) -> DataFrame:
 def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(members: id, rep; pairs: a, b, similarity), a < b representatives whose contents are similar, each link once.
 
-    ``similarity`` is that of the word multisets (words in both over words in either, counted as often as they occur). Ids are longs. Null,
-    empty and wordless contents belong to no representative; repeated rows count once; an id with several contents is a member of
+    ``similarity`` is that of the word multisets (words in both over words in either, counted as often as they occur). Ids are longs. Rows
+    with a null id are left out. Null, empty and wordless contents belong to no representative; repeated rows count once; an id with several contents is a member of
     several representatives. Every record's whole text counts. The result of the join is complete within DISTANCE of the signatures; pairs
     at a similarity of 0.75 are beyond it with a chance of a few in a thousand (a test measures it).
     """
-    rows = spread(records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("length(text) > 0"))
+    rows = spread(records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0"))
     common, _ = frequent(rows.select("text"), FRACTION)
     base = cut(profiles(rows, common))
     members = base.select("id", "same").distinct()

@@ -109,11 +109,11 @@ def indel_distance(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -
 def overlaps(heldout: DataFrame, training: DataFrame, heldout_id: str, training_id: str, text_col: str, similarity: float = 0.75) -> DataFrame:
     """(heldout_id, training_id, similarity, edits): pairs whose questions share at least ``similarity`` of their distinct words.
 
-    Complete for the stated similarity. Null, empty and wordless texts have no pairs; repeated rows give one row; copies within either side are
+    Complete for the stated similarity. Null, empty and wordless texts and null ids have no pairs; repeated rows give one row; copies within either side are
     joined once and expanded at the end; other columns are ignored, whatever their names. Ids are returned as strings.
     """
-    train_rows = spread(training.select(F.col(training_id).cast("string").alias("id"), F.col(text_col).alias("text")).where("length(text) > 0"))
-    held_rows = spread(heldout.select(F.col(heldout_id).cast("string").alias("id"), F.col(text_col).alias("text")).where("length(text) > 0"))
+    train_rows = spread(training.select(F.col(training_id).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0"))
+    held_rows = spread(heldout.select(F.col(heldout_id).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0"))
     common, _ = frequent(train_rows.select("text"), FRACTION, least=3)
     train, held = cut(sequences(train_rows, common)), cut(sequences(held_rows, common))
     one = lambda df: df.groupBy("same").agg(*[F.first(c).alias(c) for c in ("words", "rare", "n", "sketch0", "sketch1")])

@@ -18,7 +18,7 @@ GIVEN = frozenset(
 )
 _AT = r"(?:\s*[\[({]\s*(?:at|arroba|ät)\s*[\])}]\s*)"
 _DOT = r"(?:\s*[\[({]\s*(?:dot|punto|point|punkt)\s*[\])}]\s*|\s+(?:dot|punto|point|punkt)\s+)"
-_LOCAL = r"[^\W_](?:[\w.+%'-]*[^\W_])?"
+_LOCAL = r"[^\W_](?:[\w.+%'-]{0,62}[^\W_])?"
 EMAIL = re.compile(
     rf"{_LOCAL}@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+|{_LOCAL}{_AT}[^\W_][\w-]*(?:(?:\.|{_DOT})[^\W_][\w-]*)+|{_LOCAL}\s+(?:at|arroba)\s+[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+",
     re.I,
@@ -42,7 +42,7 @@ STREET = re.compile(
     rf"(?<![\w,.-])\d{{1,4}}[a-z]?\s(?P<street>(?:(?!(?:am|pm|days?|of)\b)[^\W\d_]+\s){{1,3}})(?P<type>{_TYPE})\b(?!-)"
     r"|\b(?:calle|avenida|plaza|paseo)\s(?:(?:del|de\sla|de\slos|de\slas|de)\s)?[^\W\d_]+\s\d{1,4}\b"
     r"|(?<![\w.-])\d{1,4}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|allée|impasse|chemin|quai)\s(?:(?:du|de\sla|des|de)\s)?[^\W\d_]+"
-    r"|\b[^\W\d_]+(?:straße|strasse|weg|gasse|platz|allee)\s\d{1,4}[a-z]?\b",
+    r"|\b[^\W\d_]{1,40}(?:straße|strasse|weg|gasse|platz|allee)\s\d{1,4}[a-z]?\b",
     re.I,
 )
 _TITLE = r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|sr|sra)"

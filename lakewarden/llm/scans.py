@@ -44,6 +44,8 @@ NUMBERING = re.compile(r"^(?:\d{1,3}|[a-z])[.)]$|^[#|>*•]")
 UNKNOWN = 1e-3
 NAME_DOUBT = math.log(1e-3)
 RARE = -6.0
+#: Longer tokens are no words and stay as they are.
+LONGEST = 40
 COMMONER = math.log(80)
 LOWER_RUN = re.compile(r"[^\W\d_A-ZÀ-Þ]+(?:[ \n][^\W\d_A-ZÀ-Þ]+)+")
 WORD_SHARE, PAIR_SHARE, TRIGRAM_SHARE = 2e-4, 5e-4, 1e-6
@@ -112,9 +114,9 @@ def plausible(token: str) -> bool:
     """Whether the token can be a misread word: letters, or letters with a few digits among them."""
     digits = sum(c.isdigit() for c in token)
     if not digits:
-        return len(token) >= 3
+        return 3 <= len(token) <= LONGEST
     letters = len(token) - digits
-    return digits <= 2 and letters >= 3 and not token[-2:].isdigit() and not token[0].isdigit()
+    return digits <= 2 and 3 <= letters <= LONGEST and not token[-2:].isdigit() and not token[0].isdigit()
 
 
 class Speller:
@@ -354,10 +356,10 @@ def learn(texts: DataFrame) -> Model:
 def repaired(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, joined, corrected, removed): texts with a trace of scanning, repaired into continuous paragraphs.
 
-    Null and empty texts have no trace; repeated rows give one row; whole texts are read. List items, table rows and headings keep their
+    Null and empty texts have no trace, rows with a null id are left out; repeated rows give one row; whole texts are read. List items, table rows and headings keep their
     lines. Of an id with several contents the one that sorts first is returned.
     """
-    rows = spread(records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0"))
+    rows = spread(records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0"))
     shared = records.sparkSession.sparkContext.broadcast(learn(rows.select("text")))
     kind = dict(records.dtypes)[id_col]
 

@@ -117,11 +117,11 @@ def split_text(text: str, limit: int, overlap: int, encode, pattern, sizes: dict
 def oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_col: str = "doc_type", folder: str = tokens.FOLDER) -> DataFrame:
     """(id, text, max_tokens, overlap_tokens, tokens) of the items above the limit of their kind.
 
-    Items of a kind without a limit, and null and empty texts, are never oversized; limits are one row a kind (the lowest if repeated).
+    Items of a kind without a limit, null ids and null and empty texts, are never oversized; limits are one row a kind (the lowest if repeated).
     A text of at most as many bytes as the limit has tokens is within it (no token is shorter than a byte) and is not tokenised.
     """
     lim = limits.where("max_tokens > 0").groupBy(F.col(kind_col).alias("kind")).agg(F.min("max_tokens").alias("max_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(kind_col).alias("kind")).where("text is not null").join(lim, "kind").where("octet_length(text) > max_tokens")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(kind_col).alias("kind")).where("id is not null and text is not null").join(lim, "kind").where("octet_length(text) > max_tokens")
     return spread(rows).withColumn("tokens", tokens.token_count(F.col("text"), folder)).where("tokens > max_tokens").select(F.col("id").alias(id_col), "text", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap_tokens"), "tokens")
 
 
