@@ -30,8 +30,9 @@ CONFUSIONS = {
     "à": (("a", 0.004),), "ﬀ": (("ff", 0.02),), "ﬁ": (("fi", 0.02),), "ﬂ": (("fl", 0.02),), "ﬃ": (("ffi", 0.02),), "ﬄ": (("ffl", 0.02),),
 }
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-COMPOUND = re.compile(r"[^\W\d_]{2,}-[^\W\d_]{2,}")
-BREAK = re.compile(r"([^\W\d_]+)([-‐­¬])[ \t]*\n[ \t]*([^\W\d_]+)")
+# each pattern starts at the beginning of a run of letters only, so that a very long run is read once
+COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]{2,}-[^\W\d_]{2,}")
+BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([-‐­¬])[ \t]*\n[ \t]*([^\W\d_]+)")
 LIGATURE = re.compile("[ﬀ-ﬄ]")
 PAGE = re.compile(r"^\W{0,3}(?:(?:page|pág(?:ina)?\.?|pag\.?|seite|p\.|s\.)\s*)?(?:\d{1,4}|[ivxlc]{1,7})(?:\s*(?:/|of|von|de|sur)\s*\d{1,4})?\W{0,3}$", re.I)
 TITLE_WORD = r"[^\W\d_][\w'’\-]*"
@@ -47,7 +48,7 @@ RARE = -6.0
 #: Longer tokens are no words and stay as they are.
 LONGEST = 40
 COMMONER = math.log(80)
-LOWER_RUN = re.compile(r"[^\W\d_A-ZÀ-Þ]+(?:[ \n][^\W\d_A-ZÀ-Þ]+)+")
+LOWER_RUN = re.compile(r"(?<![^\W\d_A-ZÀ-Þ])[^\W\d_A-ZÀ-Þ]++(?:[ \n][^\W\d_A-ZÀ-Þ]+)+")
 WORD_SHARE, PAIR_SHARE, TRIGRAM_SHARE = 2e-4, 5e-4, 1e-6
 
 
