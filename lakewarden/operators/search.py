@@ -89,16 +89,18 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text:
     A negative idf is replaced by ``epsilon`` times the mean idf. Query terms count as often as they occur. Only documents sharing a term are scored; the
     rest have score 0 and are left out, as are queries nothing matches. Ties go to the smaller id.
     """
-    post = postings(docs, doc_id, doc_text)
-    lengths = docs.select(F.size(tx.tokens(F.col(doc_text))).alias("n"))
-    stats = lengths.agg(F.count("*").cast("double").alias("docs"), F.avg("n").alias("mean_length"))
-    df = post.groupBy("term").agg(F.count("*").cast("double").alias("df")).crossJoin(stats)  # stats is one row
+    own = docs.select(F.col(doc_id), tx.tokens(F.col(doc_text)).alias("ts")).withColumn("length", F.size("ts"))
+    stats = own.agg(F.count("*").cast("double").alias("docs"), F.avg("length").alias("mean_length"))
+    # document frequencies combine a term on the map side: what is shuffled is the vocabulary, not the postings
+    df = own.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df")).crossJoin(stats)  # stats is one row
     idf = df.withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
     idf = idf.crossJoin(mean).select("term", "mean_length", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select(F.col(query_id), F.explode(tx.tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
+    # only occurrences of asked terms become postings
+    wanted = asked.select("term").distinct()
+    post = own.select(doc_id, "length", F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy(doc_id, "length", "term").agg(F.count("*").alias("tf"))
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("mean_length")))
-    # asked terms meet their idf first, so the postings of other terms are not shuffled further
     scored = asked.join(idf, "term").join(post, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("qtf") * gain).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), doc_id))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

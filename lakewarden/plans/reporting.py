@@ -265,7 +265,7 @@ def span_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def normalised_text(spark: SparkSession, d: str) -> DataFrame:
     """What a scanner reads of each document, as a hash."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(tx.for_scan(F.col("text"))).alias("plain"), tx.language(F.col("text")).alias("language"))
+    return spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", F.md5(tx.for_scan(F.col("text"))).alias("plain"), tx.language(F.col("text")).alias("language"))
 
 
 @query("SELECT DISTINCT trace_id, original_query IS NOT NULL AS restored FROM threat_results WHERE action = 'FLAG' AND length(original_query) >= 16")

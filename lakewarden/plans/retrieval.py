@@ -11,7 +11,7 @@ from lakewarden.functions import vectors as vx
 from lakewarden.operators import evaluation, filters, reports, scan, search, store, trust, verify
 from lakewarden.plans.feed import FEED
 from lakewarden.plans.registry import query
-from lakewarden.runtime import table
+from lakewarden.runtime import spread, table
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ _WORDS_SQL = "list_filter(string_split_regex(lower({}), '\\s+'), lambda t: t <>
 @query()
 def evidence_for_question(spark: SparkSession, d: str) -> DataFrame:
     """For a question, the passages that may be shown: keyword search, tiers by source, redaction, order, budget and labels."""
-    docs = table(spark, d, "documents").where("text is not null and lang = 'en'")
+    docs = spread(table(spark, d, "documents").where("text is not null and lang = 'en'").select("doc_id", "text", "source"))
     asked = spark.createDataFrame([(1, "how many days may data stewards keep audit logs when a restore test fails")], "question_id long, question string")
     top = search.bm25(asked, docs.select("doc_id", "text"), 16, "question_id", "question", "doc_id", "text")
     src = F.when(F.col("source").isin("it_policy_portal", "legal_register", "hr_handbook"), "official").when(F.col("source").isin("partner_faq", "support_macros"), "unknown").otherwise("verified_internal")
@@ -62,7 +62,7 @@ s AS (SELECT item_id, doc_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUB
 @query("WITH " + _BM25.format(b="0.75", name="k") + " SELECT item_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM k WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "heldout_passages").where("item_id % 50 = 0")
-    return search.bm25(q, table(spark, d, "documents"), 10, "item_id", "passage", "doc_id", "text").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return search.bm25(q, spread(table(spark, d, "documents").select("doc_id", "text")), 10, "item_id", "passage", "doc_id", "text").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 _EMB = """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
@@ -168,7 +168,7 @@ _FEED_SQL = ", ".join(f"CASE WHEN regexp_matches(t, '(?ism){r.replace(chr(39), c
 @query(f"SELECT doc_id, list_aggregate(list_filter([{_FEED_SQL}], lambda x: x IS NOT NULL), 'string_agg', ',') AS hits FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL) WHERE len(list_filter([{_FEED_SQL}], lambda x: x IS NOT NULL)) > 0")
 def pattern_hits(spark: SparkSession, d: str) -> DataFrame:
     """Documents with patterns of the feed."""
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", scan.hits(F.col("text"), FEED).alias("h"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", scan.hits(F.col("text"), FEED).alias("h"))
     return rows.where(F.size("h") > 0).select("doc_id", F.array_join("h.id", ",").alias("hits"))
 
 
