@@ -17,39 +17,47 @@ def evidence_of(risk: Column, blocked: Column | None = None, weight: Column | No
     return F.when(F.coalesce(blocked, F.lit(False)), F.lit(1.0)).otherwise(clean) if blocked is not None else clean
 
 
+#: Events a block; blocks are grouped by the same factor on each level.
+STEPS = 64
+LEVELS = 2
+
+
+def _composed(parts: Column) -> Column:
+    """Affine steps s -> m s + c, in order, as one step."""
+    step = lambda acc, x: F.struct((acc["m"] * x["m"]).alias("m"), (acc["c"] * x["m"] + x["c"]).alias("c"))
+    return F.aggregate(parts, F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("c")), step)
+
+
+def _starts(steps: DataFrame, level: int) -> DataFrame:
+    """(key, n, s0): the state before each step of (key, n, m, c), n counting from 0 a key."""
+    if level == 0:
+        before = F.collect_list(F.struct("m", "c")).over(Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+        return steps.select("key", "n", _composed(before)["c"].alias("s0"))
+    rows = steps.withColumn("g", F.floor(F.col("n") / STEPS))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "m", "c"))), lambda x: F.struct(x["m"], x["c"]))  # STEPS at most
+    groups = rows.groupBy("key", F.col("g")).agg(_composed(ordered).alias("t")).select("key", F.col("g").alias("n"), "t.m", "t.c")
+    first = _starts(groups, level - 1).select(F.col("key").alias("gk"), F.col("n").alias("gn"), F.col("s0").alias("gs"))
+    inside = F.collect_list(F.struct("m", "c")).over(Window.partitionBy("key", "g").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.withColumn("t", _composed(inside)).join(first, F.col("key").eqNullSafe(F.col("gk")) & (F.col("g") == F.col("gn")))
+    return joined.select("key", "n", (F.col("gs") * F.col("t.m") + F.col("t.c")).alias("s0"))
+
+
 def suspicion(events: DataFrame, key: str, ts_seconds: str, evidence: str, tie: str, alpha: float = ALPHA, half_life_s: float = HALF_LIFE_S) -> DataFrame:
     """Events with the suspicion of their key before and after them.
 
-    s decays by half every ``half_life_s``; evidence e raises it to s + (1 - s) alpha e, a clean turn (null evidence) multiplies it by 0.95. Each step
-    is affine, s' = m s + c with m > 0, so with M the running product of the m, s_n = M_n * sum(c_i / M_i): running sums of logarithms and of
-    quotients would overflow over long gaps; instead steps compose in blocks: within a block of STEPS events the fold is an aggregate over the
-    block's array, block transforms are composed the same way, and the states at block starts feed the blocks. No task holds a whole key's events.
+    s decays by half every ``half_life_s``; evidence e in [0, 1] raises it to s + (1 - s) alpha e, a clean turn (null evidence) multiplies it by 0.95.
+    Each step is affine, s' = m s + c, so steps compose: blocks of STEPS events are folded on their own, blocks of blocks likewise, and the states at
+    block starts are handed down. The result is that of the sequential fold, but no task folds more than STEPS events or the few top blocks of a key.
     """
     w = Window.partitionBy(key).orderBy(ts_seconds, tie)
     gap = F.greatest(F.col(ts_seconds) - F.lag(ts_seconds).over(w), F.lit(0.0))
-    d = F.coalesce(F.pow(F.lit(2.0), -gap / F.lit(half_life_s)), F.lit(1.0))
     e = F.least(F.greatest(F.col(evidence).cast("double"), F.lit(0.0)), F.lit(1.0))
-    rows = events.withColumn("__d", d).withColumn("__n", F.row_number().over(w) - 1).withColumn("__b", F.floor(F.col("__n") / STEPS))
-    rows = rows.withColumn("__m", F.when(F.col(evidence).isNull(), F.lit(CLEAN_RELAX)).otherwise(1 - F.lit(alpha) * e) * F.col("__d")).withColumn("__c", F.when(F.col(evidence).isNull(), F.lit(0.0)).otherwise(F.lit(alpha) * e))
-    step = lambda acc, x: F.struct((acc["m"] * x["m"]).alias("m"), (acc["c"] * x["m"] + x["c"]).alias("c"))
-    still = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("c"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), F.col("__m").alias("m"), F.col("__c").alias("c")))), lambda x: F.struct(x["m"], x["c"]))  # STEPS at most
-    blocks = rows.groupBy(key, "__b").agg(F.aggregate(parts, still, step).alias("t"))
-    # the blocks of a key are few (one in STEPS events): their running composition is a bounded fold a block
-    before = F.collect_list(F.struct(F.col("t.m").alias("m"), F.col("t.c").alias("c"))).over(Window.partitionBy(key).orderBy("__b").rowsBetween(-REACH, -1))
-    start = blocks.select(F.col(key).alias("__k"), F.col("__b").alias("__bb"), F.aggregate(before, still, step)["c"].alias("__s0"))
-    joined = rows.join(start, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__bb")))
-    inside = F.collect_list(F.struct(F.col("__m").alias("m"), F.col("__c").alias("c"))).over(Window.partitionBy(key, "__b").orderBy("__n"))
-    total = F.aggregate(inside, still, step)
-    after = F.col("__s0") * total["m"] + total["c"]
-    out = joined.withColumn("suspicion_after", after)
-    prior = F.coalesce(F.lag("suspicion_after").over(Window.partitionBy(key).orderBy("__n")), F.lit(0.0)) * F.col("__d")
-    return out.withColumn("suspicion_before", prior).drop("__d", "__n", "__b", "__m", "__c", "__k", "__bb", "__s0")
-
-
-#: Events a block, and blocks a block's start looks back to. A state halves with every clean or positive step at most slightly, but REACH * STEPS
-#: steps of factor 0.95 or less leave nothing of it; with factors of one (evidence 0 at one instant) it is still exact up to that many events.
-STEPS, REACH = 64, 256
+    clean = F.col(evidence).isNull()
+    rows = events.withColumn("__d", F.coalesce(F.pow(F.lit(2.0), -gap / F.lit(half_life_s)), F.lit(1.0))).withColumn("__n", F.row_number().over(w) - 1)
+    rows = rows.withColumn("__m", F.when(clean, F.lit(CLEAN_RELAX)).otherwise(1 - F.lit(alpha) * e) * F.col("__d")).withColumn("__c", F.when(clean, F.lit(0.0)).otherwise(F.lit(alpha) * e))
+    first = _starts(rows.select(F.col(key).alias("key"), F.col("__n").alias("n"), F.col("__m").alias("m"), F.col("__c").alias("c")), LEVELS)
+    out = rows.join(first.select(F.col("key").alias("__k"), F.col("n").alias("__i"), F.col("s0").alias("__s")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__i")))
+    return out.withColumn("suspicion_before", F.col("__s") * F.col("__d")).withColumn("suspicion_after", F.col("__s") * F.col("__m") + F.col("__c")).drop("__d", "__n", "__m", "__c", "__k", "__i", "__s")
 
 
 def thresholds(s: Column) -> Column:

@@ -32,7 +32,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from lakewarden.plans import reporting, retrieval  # noqa: F401
+    from lakewarden.plans import evaluating, reporting, retrieval  # noqa: F401
 
 
 _load()
