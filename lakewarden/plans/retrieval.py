@@ -168,8 +168,10 @@ _FEED_SQL = ", ".join(f"CASE WHEN regexp_matches(t, '(?ism){r.replace(chr(39), c
 @query(f"SELECT doc_id, list_aggregate(list_filter([{_FEED_SQL}], lambda x: x IS NOT NULL), 'string_agg', ',') AS hits FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL) WHERE len(list_filter([{_FEED_SQL}], lambda x: x IS NOT NULL)) > 0")
 def pattern_hits(spark: SparkSession, d: str) -> DataFrame:
     """Documents with patterns of the feed."""
-    rows = spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", scan.hits(F.col("text"), FEED).alias("h"))
-    return rows.where(F.size("h") > 0).select("doc_id", F.array_join("h.id", ",").alias("hits"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null"))
+    # behind a generator, the costly expression is evaluated once, and not pushed below the shuffle that spreads it
+    found = F.explode(F.array(F.array_join(scan.hits(F.col("text"), FEED)["id"], ",")))
+    return rows.select("doc_id", found.alias("hits")).where("hits <> ''")
 
 
 @query(f"""WITH c AS (SELECT candidate_id, coalesce(scan_status, 'clean') AS s, coalesce(anomaly_score, 0) AS a FROM {CANDIDATES}),
