@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -16,26 +21,27 @@ def digest(previous: Column, *fields: Column) -> Column:
 def sealed(df: DataFrame, chain: str, position: str, fields: list[str]) -> DataFrame:
     """Records with ``prev`` and ``hash``: each hash covers the record and the hash before it.
 
-    A chain is sequential by nature; chains (one a tenant, day or writer) are sealed in parallel, each as a fold in its order.
+    A chain is sequential by nature; chains (one a tenant, day or writer) are sealed in parallel. A chain's records are kept together and in order and
+    pass through with one hash of state, so a chain of any length needs no memory. Positions are unique within a chain.
     """
-    import hashlib
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
     text = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"__f{i}") for i, f in enumerate(fields)]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(position, kind="stable")
-        prev, seen, out = GENESIS, [], []
-        for values in rows[[f"__f{i}" for i in range(len(fields))]].itertuples(index=False):
-            seen.append(prev)
-            prev = hashlib.sha256("\x1f".join([prev, *values]).encode()).hexdigest()
-            out.append(prev)
-        return rows.drop(columns=[f"__f{i}" for i in range(len(fields))]).assign(prev=seen, hash=out)
+    extra = [f"__f{i}" for i in range(len(fields))]
+
+    def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, prev = None, GENESIS
+        for b in batches:
+            seen, out = [], []
+            for k, values in zip(b["__k"].tolist(), b[extra].itertuples(index=False)):
+                if k != current:
+                    current, prev = k, GENESIS
+                seen.append(prev)
+                prev = hashlib.sha256("\x1f".join([prev, *values]).encode()).hexdigest()
+                out.append(prev)
+            yield b.drop(columns=[*extra, "__k"]).assign(prev=seen, hash=out)
 
     schema = T.StructType([*df.schema.fields, T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType())])
-    return df.select("*", *text).groupBy(chain).applyInPandas(fold, schema)
+    key = F.coalesce(F.concat(F.lit("="), F.col(chain).cast("string")), F.lit("")).alias("__k")
+    return df.select("*", *text, key).repartition(chain).sortWithinPartitions(chain, position).mapInPandas(seal, schema)
 
 
 def broken(df: DataFrame, chain: str, position: str, fields: list[str]) -> DataFrame:

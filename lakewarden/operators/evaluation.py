@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.operators import ranks
+
 Z95 = 1.96
 
 
@@ -89,9 +91,7 @@ def threshold_at(df: DataFrame, keys: list[str], score: str, benign: Column, fp:
     Ranks come from counts a distinct score.
     """
     counts = df.where(benign & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("c"))
-    down = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(F.desc(score))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    r = counts.withColumn("above", F.sum("c").over(down)).withColumn("total", F.sum("c").over(whole))
+    r = ranks.cumulative(counts, keys, score, "c", descending=True).withColumnRenamed("upto", "above")
     need = F.least(F.floor(F.lit(fp) * F.col("total") + F.lit(1e-9)), F.col("total") - 1) + 1
     return r.groupBy(*keys).agg(F.max("total").alias("benign"), F.max(F.when(F.col("above") >= need, F.col(score))).alias("threshold"))
 

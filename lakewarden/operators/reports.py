@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewarden.operators import ranks
+
 
 def outcome_shares(df: DataFrame, outcome: str) -> DataFrame:
     """(outcome, n, share); a missing outcome is "unknown"."""
@@ -30,9 +32,7 @@ def rounded_index(df: DataFrame, keys: list[str], value: str, quantiles: list[fl
 
 def _by_index(df: DataFrame, keys: list[str], value: str, quantiles: list[float], rank) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.partitionBy(F.lit(1)).orderBy(value)
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    r = counts.withColumn("upto", F.sum("c").over(w)).withColumn("total", F.sum("c").over(whole))
+    r = ranks.cumulative(counts, keys, value, "c")
     return r.groupBy(*keys).agg(F.max("total").alias("n"), *[F.min(F.when(F.col("upto") >= rank(F.col("total"), q), F.col(value))).alias(f"p{q * 100:g}") for q in quantiles])
 
 

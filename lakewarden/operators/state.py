@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakewarden.operators import ranks
 
 ALPHA, HALF_LIFE_S = 0.5, 600.0
 CLEAN_RISK, CLEAN_RELAX, RISK_FLOOR, RISK_SPAN = 0.20, 0.95, 0.20, 0.60
@@ -49,15 +55,15 @@ def suspicion(events: DataFrame, key: str, ts_seconds: str, evidence: str, tie:
     Each step is affine, s' = m s + c, so steps compose: blocks of STEPS events are folded on their own, blocks of blocks likewise, and the states at
     block starts are handed down. The result is that of the sequential fold, but no task folds more than STEPS events or the few top blocks of a key.
     """
-    w = Window.partitionBy(key).orderBy(ts_seconds, tie)
-    gap = F.greatest(F.col(ts_seconds) - F.lag(ts_seconds).over(w), F.lit(0.0))
+    rows = ranks.numbered(events, [key], [ts_seconds, tie], previous=ts_seconds)
+    gap = F.greatest(F.col(ts_seconds) - F.col("__previous"), F.lit(0.0))
     e = F.least(F.greatest(F.col(evidence).cast("double"), F.lit(0.0)), F.lit(1.0))
     clean = F.col(evidence).isNull()
-    rows = events.withColumn("__d", F.coalesce(F.pow(F.lit(2.0), -gap / F.lit(half_life_s)), F.lit(1.0))).withColumn("__n", F.row_number().over(w) - 1)
+    rows = rows.withColumn("__d", F.coalesce(F.pow(F.lit(2.0), -gap / F.lit(half_life_s)), F.lit(1.0)))
     rows = rows.withColumn("__m", F.when(clean, F.lit(CLEAN_RELAX)).otherwise(1 - F.lit(alpha) * e) * F.col("__d")).withColumn("__c", F.when(clean, F.lit(0.0)).otherwise(F.lit(alpha) * e))
     first = _starts(rows.select(F.col(key).alias("key"), F.col("__n").alias("n"), F.col("__m").alias("m"), F.col("__c").alias("c")), LEVELS)
     out = rows.join(first.select(F.col("key").alias("__k"), F.col("n").alias("__i"), F.col("s0").alias("__s")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__i")))
-    return out.withColumn("suspicion_before", F.col("__s") * F.col("__d")).withColumn("suspicion_after", F.col("__s") * F.col("__m") + F.col("__c")).drop("__d", "__n", "__m", "__c", "__k", "__i", "__s")
+    return out.withColumn("suspicion_before", F.col("__s") * F.col("__d")).withColumn("suspicion_after", F.col("__s") * F.col("__m") + F.col("__c")).drop("__d", "__n", "__m", "__c", "__k", "__i", "__s", "__previous")
 
 
 def thresholds(s: Column) -> Column:
@@ -77,17 +83,27 @@ def token_bucket(events: DataFrame, key: str, ts_seconds: str, tie: str, capacit
     """
     w = Window.partitionBy(key).orderBy(ts_seconds, tie)
     gap = F.col(ts_seconds) - F.lag(ts_seconds).over(w)
-    rows = events.withColumn("__new", F.coalesce((gap >= capacity / refill).cast("int"), F.lit(1))).withColumn("__s", F.sum("__new").over(w)).withColumn("__gap", F.greatest(F.coalesce(gap, F.lit(0.0)), F.lit(0.0)))
-    seen = F.collect_list("__gap").over(Window.partitionBy(key, "__s").orderBy(ts_seconds, tie))
-
-    def step(acc: Column, g: Column) -> Column:
-        full = F.least(F.lit(float(capacity)), acc["tokens"] + g * F.lit(float(refill)))
-        ok = full >= 1
-        return F.struct(F.when(ok, full - 1).otherwise(full).alias("tokens"), ok.alias("ok"))
-
-    # the first event of a session finds a full bucket; its own gap adds nothing
-    state = F.aggregate(seen, F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(True).alias("ok")), step)
-    return rows.withColumn("__state", state).withColumn("allowed", F.col("__state.ok")).withColumn("tokens_left", F.col("__state.tokens")).drop("__state", "__new", "__s", "__gap")
+    rows = events.withColumn("__s", F.sum(F.coalesce((gap >= capacity / refill).cast("int"), F.lit(1))).over(w))
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("tokens_left", T.DoubleType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, tokens, last = None, capacity, 0.0
+        for b in batches:
+            allowed, left = [], []
+            for k, n, t in zip(b["__k"].tolist(), b["__s"].tolist(), b[ts_seconds].tolist()):
+                if session != (k, n):  # the first event of a session finds a full bucket
+                    session, tokens, last = (k, n), capacity, t
+                tokens = min(capacity, tokens + max(0.0, t - last) * refill)
+                ok = tokens >= 1
+                tokens -= ok
+                last = t
+                allowed.append(ok)
+                left.append(tokens)
+            yield b.drop(columns=["__s", "__k"]).assign(allowed=allowed, tokens_left=left)
+
+    # sessions are kept together and in order, and pass through the fold one after the other with a state of two numbers
+    apart = rows.withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))).repartition(key, "__s").sortWithinPartitions(key, "__s", ts_seconds, tie)
+    return apart.mapInPandas(fold, schema)
 
 
 def lockouts(failures: DataFrame, key: list[str], ts_seconds: str, limit: int = 5, window_s: int = 900) -> DataFrame:

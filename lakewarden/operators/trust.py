@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,27 +93,31 @@ def contradictions(unverified: DataFrame, trusted: DataFrame, group: str, item:
 def split_payloads(df: DataFrame, group: str, position: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """(group, position, kept): passages in order, dropping those that complete a pattern neither the ones kept before nor they alone hold.
 
-    The fold depends on its own decisions, so each group is folded in one task; groups are the few passages of one answer.
+    The fold depends on its own decisions. Groups are kept together and in order and pass through one after the other, with the few passages of
+    one answer as state.
     """
-    import re
-
     kind = {c: t for c, t in df.dtypes}
     compiled = {k: re.compile(v, re.I | re.S | re.M) for k, v in patterns.items()}
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        before: set[str] = set()
-        out = []
-        for r in rows.sort_values(position).itertuples(index=False):
-            t = getattr(r, text) or ""
-            joined = " ".join([*kept, t])
-            now = {k for k, p in compiled.items() if p.search(joined)}
-            alone = {k for k, p in compiled.items() if p.search(t)}
-            ok = not (kept and now - before - alone)
-            if ok:
-                kept.append(t)
-                before = now
-            out.append((getattr(r, group), getattr(r, position), ok))
-        return pd.DataFrame(out, columns=[group, position, "kept"])
-
-    return df.select(group, position, text).groupBy(group).applyInPandas(fold, f"{group} {kind[group]}, {position} {kind[position]}, kept boolean")
+    def found(t: str) -> set[str]:
+        return {k for k, p in compiled.items() if p.search(t)}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept, before = None, [], set()
+        for b in batches:
+            flags = []
+            for g, t in zip(b["__k"].tolist(), b[text].tolist()):
+                if g != current:
+                    current, kept, before = g, [], set()
+                t = t if isinstance(t, str) else ""
+                now = found(" ".join([*kept, t]))
+                ok = not kept or not (now - before - found(t))
+                if ok:
+                    kept.append(t)
+                    before = now
+                flags.append(ok)
+            yield b[[group, position]].assign(kept=flags)
+
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("__k")
+    rows = df.select(group, position, text, key).repartition(group).sortWithinPartitions(group, position)
+    return rows.mapInPandas(fold, f"{group} {kind[group]}, {position} {kind[position]}, kept boolean")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakewarden.operators import audit, chunking, datasets, evaluation, filters, reports, scan, search, state, store, trust, verify
+from lakewarden.operators import audit, chunking, datasets, evaluation, filters, ranks, reports, scan, search, state, store, trust, verify
 from lakewarden.plans.feed import FEED
 
 
@@ -239,6 +239,23 @@ def test_suspicion_equals_the_sequential_fold(spark, n):
     assert got[0].suspicion_before == 0
 
 
+def test_ranks_of_a_group_spread_over_ranges(spark):
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else None, rng.randrange(500), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(5)
+    got = ranks.numbered(df, ["k"], ["v", "i"], previous="v").collect()
+    for k in ("hot", None):
+        want = sorted((v, i) for kk, v, i in rows if kk == k)
+        own = sorted((r for r in got if r.k == k), key=lambda r: r["__n"])
+        assert [(r.v, r.i) for r in own] == want and [r["__n"] for r in own] == list(range(len(want)))
+        assert [r["__previous"] for r in own] == [None, *[v for v, _ in want[:-1]]]
+    counts = df.groupBy("k", "v").count()
+    for down in (False, True):
+        for r in ranks.cumulative(counts, ["k"], "v", "count", down).collect():
+            own = [v for k, v, _ in rows if k == r.k]
+            assert r.total == len(own) and r.upto == sum(v >= r.v if down else v <= r.v for v in own)
+
+
 def test_suspicion_does_not_depend_on_partitions(spark):
     rows = [(f"k{i % 7}", float(i), i, (i % 5) / 4 if i % 3 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, ts double, i int, e double")
