@@ -24,34 +24,47 @@ from lakewarden.runtime import cut, spread
 
 #: Most item words and item keys that are collected as filters (8 bytes each).
 FILTER_LIMIT = 2_000_000
+#: Independent walks, sampling tables a walk, and sampled positions a table.
+WALKS, TABLES, SAMPLE = 4, 3, 5
 #: Windows embedded at once.
 BLOCK = 100_000
 
 
-def embedding_plan(run: int, tables: int, sample: int, seed: int) -> list[list[tuple[int, np.int64]]]:
-    """For each step of the walk, which tables sample it and with what multiplier."""
+def embedding_plan(run: int, walks: int, tables: int, sample: int, seed: int) -> list[tuple[np.int64, list[list[tuple[int, np.int64]]]]]:
+    """For each walk its random bits (a multiplier), and for each of its steps which tables sample it and with what multiplier."""
     rng = np.random.default_rng(seed)
-    steps = 3 * run
-    plan: list[list[tuple[int, np.int64]]] = [[] for _ in range(steps)]
-    for t in range(tables):
-        for j in rng.choice(2 * run, size=min(sample, 2 * run), replace=False):  # later steps are mostly padding
-            plan[j].append((t, np.int64(rng.integers(1, 2**62) * 2 + 1)))
-    return plan
-
-
-def keys_of(windows: np.ndarray, plan: list, tables: int) -> np.ndarray:
-    """LSH keys, (n, tables), of windows of word codes, (n, run)."""
+    odd = lambda: np.int64(rng.integers(1, 2**62) * 2 + 1)
+    out = []
+    for w in range(walks):
+        steps: list[list[tuple[int, np.int64]]] = [[] for _ in range(2 * run)]  # later steps are mostly padding
+        for t in range(w * tables, (w + 1) * tables):
+            for j in rng.choice(2 * run, size=min(sample, 2 * run), replace=False):
+                steps[j].append((t, odd()))
+        out.append((odd(), steps))
+    return out
+
+
+def keys_of(windows: np.ndarray, plan: list) -> np.ndarray:
+    """LSH keys, (n, walks * tables), of windows of word codes, (n, run)."""
     n, run = windows.shape
     padded = np.concatenate([windows, np.full((n, 1), -1, np.int64)], axis=1).ravel()
-    base, at = np.arange(n) * (run + 1), np.zeros(n, np.int64)
+    base = np.arange(n) * (run + 1)
+    tables = 1 + max(t for _, steps in plan for s in steps for t, _ in s)
     keys = np.zeros((tables, n), np.int64)
     with np.errstate(over="ignore"):
-        for j, samples in enumerate(plan):
-            symbol = padded[base + at]
-            for t, factor in samples:
-                keys[t] += (symbol ^ (symbol >> 29)) * factor
-            at += (symbol >> (j % 61)) & 1
-            np.minimum(at, run, out=at)
+        for bits, steps in plan:
+            random = padded * bits
+            random ^= random >> 31
+            at = base.copy()
+            end = base + run
+            for j, samples in enumerate(steps):
+                if samples:
+                    symbol = padded[at]
+                    symbol ^= symbol >> 29
+                    for t, factor in samples:
+                        keys[t] += symbol * factor
+                at += (random[at] >> (j % 31)) & 1
+                np.minimum(at, end, out=at)
         keys ^= (keys >> 31) & 0xFFFFFFFF
         keys += np.arange(tables, dtype=np.int64)[:, None]
     return keys.T
@@ -75,17 +88,17 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return previous[:, run]
 
 
-def windows_of(df: DataFrame, run: int, tables: int, sample: int, seed: int, known: np.ndarray | None = None, keys: np.ndarray | None = None, max_edits: int = 0) -> DataFrame:
+def windows_of(df: DataFrame, run: int, plan: list, known: np.ndarray | None = None, keys: np.ndarray | None = None, max_edits: int = 0) -> DataFrame:
     """(id, pos, key, words) of every window that passes the filters; df is (id, text)."""
     sc = df.sparkSession.sparkContext
     known_b, keys_b = sc.broadcast(known), sc.broadcast(keys)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, keys, codes, plan = known_b.value, keys_b.value, Codes(), embedding_plan(run, tables, sample, seed)
+        known, keys, codes = known_b.value, keys_b.value, Codes()
 
         def flush(ids: list, at: list, views: list) -> pd.DataFrame:
             w = np.concatenate(views)
-            k = keys_of(w, plan, tables)
+            k = keys_of(w, plan)
             if keys is not None:
                 found = np.searchsorted(keys, k.ravel())
                 found[found == len(keys)] = 0
@@ -137,15 +150,16 @@ def bounded_set(df: DataFrame, column: str, most: int) -> np.ndarray | None:
     return np.sort(distinct.toPandas()[column].to_numpy(np.int64))
 
 
-def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, run: int = 13, max_edits: int = 2, tables: int = 6, sample: int = 6, seed: int = 5) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, run: int = 13, max_edits: int = 2, walks: int = WALKS, tables: int = TABLES, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
     """(item_id, doc_id, doc_pos, item_pos, edits): windows of ``run`` words of a document within ``max_edits`` word edits of one of an item.
 
-    Windows that agree exactly always meet (equal windows have equal embeddings); with edits the chance grows with ``tables`` and falls with
-    ``sample`` (a test measures it). Rows with a null id are left out; null, empty and texts shorter than ``run`` words have no window. Repeated rows give one result row;
+    Windows that agree exactly always meet (equal windows have equal embeddings); with edits the chance grows with ``walks`` and ``tables`` and falls
+    with ``sample`` (a test measures it at the defaults). Rows with a null id are left out; null, empty and texts shorter than ``run`` words have no window. Repeated rows give one result row;
     whole texts of any length are read. Ids are longs; other columns are ignored, whatever their names.
     """
     item_rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
-    item_windows = cut(windows_of(item_rows, run, tables, sample, seed))
+    plan = embedding_plan(run, walks, tables, sample, seed)
+    item_windows = cut(windows_of(item_rows, run, plan))
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -154,7 +168,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
     known = bounded_set(item_windows.select("words").mapInPandas(codes, "code long"), "code", FILTER_LIMIT)
     keys = bounded_set(item_windows, "key", FILTER_LIMIT)
     doc_rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null"))
-    doc_windows = windows_of(doc_rows, run, tables, sample, seed, known, keys, max_edits)
+    doc_windows = windows_of(doc_rows, run, plan, known, keys, max_edits)
     pairs = (
         doc_windows.select(F.col("id").alias("d"), F.col("pos").alias("dp"), "key", F.col("words").alias("dw"))
         .join(item_windows.select(F.col("id").alias("i"), F.col("pos").alias("ip"), "key", F.col("words").alias("iw")), "key")

@@ -21,7 +21,7 @@ from lakewarden.runtime import spread
 
 HEADING = re.compile(r"^(#{1,6})[ \t]+\S", re.M)
 MARKUP_HEADING = re.compile(r"<h([1-6])\b", re.I)
-BLOCK = re.compile(r"\n[ \t]*\n\s*")
+BLOCK = re.compile(r"\n[ \t\r]*\n\s*")
 LINE = re.compile(r"\n")
 SENTENCE = re.compile(r"[.!?。！？…][\"'”’)\]]*\s+")
 

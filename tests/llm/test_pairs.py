@@ -205,6 +205,31 @@ def test_leaks_exact_and_edited(spark):
         assert edit(text[r.doc][r.doc_pos : r.doc_pos + 13], grams[r["item"]][r.item_pos : r.item_pos + 13]) == r.edits
 
 
+@pytest.mark.parametrize("edits, least", [(1, 0.95), (2, 0.9)])
+@pytest.mark.parametrize("kind", ["sub", "ins", "del"])
+def test_walks_reach_their_recall(edits, least, kind):
+    """At the defaults, windows within two edits share a key with the stated chance."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 2**62, (1500, 16))
+    b = []
+    for row in a.tolist():
+        for _ in range(edits):
+            p = int(rng.integers(0, 13))
+            if kind == "sub":
+                row[p] = int(rng.integers(1, 2**62))
+            elif kind == "ins":
+                row.insert(p, int(rng.integers(1, 2**62)))
+            else:
+                row.pop(p)
+        b.append((row + [7] * 13)[:13])
+    a, b = np.ascontiguousarray(a[:, :13]), np.array(b)
+    plan = leaks.embedding_plan(13, leaks.WALKS, leaks.TABLES, leaks.SAMPLE, 5)
+    met = (leaks.keys_of(a, plan) == leaks.keys_of(b, plan)).any(axis=1)
+    near = leaks.edit_distance(a, b, 2) <= 2
+    assert near.sum() > 50 and met[near].mean() >= least
+    assert (leaks.keys_of(a, plan) == leaks.keys_of(a.copy(), plan)).all()
+
+
 def test_leaks_without_filters_and_edges(spark, monkeypatch):
     p = " ".join(f"word{i}" for i in range(20))
     items = spark.createDataFrame([(1, p, 0), (1, p, 0), (2, None, 0), (3, "too short", 0), (None, p, 0)], "item long, passage string, pos int")
