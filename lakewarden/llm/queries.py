@@ -51,6 +51,11 @@ def timings(spark: SparkSession, d: str, name: str, kind: str) -> DataFrame:
     return rows.select("trace_id", "tenant_id", F.col(kind).alias("kind"), policy.alias("policy_version"), F.to_date("evaluated_at").alias("day"), F.col("execution_time_ms").alias("ms")).distinct()
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Percentiles to six places, beyond which two engines' powers may differ."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 KEYS = ["tenant_id", "kind", "policy_version", "day"]
 
 
@@ -59,19 +64,19 @@ def p3_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, kind in (("threat_results", "action"), ("layer2_results", "status")):
         parts.append(percentiles.summary(timings(spark, d, name, kind).withColumn("origin", F.lit(name)), ["origin", *KEYS], "ms"))
-    return percentiles.percentiles(parts[0].unionByName(parts[1]), ["origin", *KEYS], QUANTILES)
+    return _rounded(percentiles.percentiles(parts[0].unionByName(parts[1]), ["origin", *KEYS], QUANTILES))
 
 
 def p3_combined_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles a tenant and month, combined from the daily summaries."""
     daily = percentiles.summary(timings(spark, d, "threat_results", "action"), KEYS, "ms")
     monthly = percentiles.merged(daily.withColumn("month", F.trunc("day", "month")), ["tenant_id", "month"])
-    return percentiles.percentiles(monthly, ["tenant_id", "month"], QUANTILES)
+    return _rounded(percentiles.percentiles(monthly, ["tenant_id", "month"], QUANTILES))
 
 
 def p3_exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles a status, with values themselves as buckets."""
-    return percentiles.percentiles(percentiles.summary(timings(spark, d, "layer2_results", "status"), ["kind"], "ms", error=None), ["kind"], QUANTILES, error=None)
+    return _rounded(percentiles.percentiles(percentiles.summary(timings(spark, d, "layer2_results", "status"), ["kind"], "ms", error=None), ["kind"], QUANTILES, error=None))
 
 
 def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +125,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_shares_of_everything(spark: SparkSession, d: str) -> DataFrame:
+    """Shares at a total of about half of all tokens (an eighth of the bytes): sources too small for their target give all they may."""
+    docs = table(spark, d, "documents")
+    # one number decides the total; it is read before the plan of the mixture is made
+    total = docs.where("length(text) > 0").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return mixing.mixture(docs, table(spark, d, "mix_targets"), total_tokens=total // 8)[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "documents"), table(spark, d, "size_limits")).select("doc_id").distinct()
 
@@ -139,7 +152,7 @@ _G = "(1.01::DOUBLE / 0.99::DOUBLE)"
 
 
 def _percentile_sql(rows: str, keys: str, bucket: str, shown: str) -> str:
-    picks = ", ".join(f"min(CASE WHEN cum >= greatest(ceil({q}::DOUBLE * total - 1e-9), 1) THEN {shown} END) AS p{q * 100:g}" for q in QUANTILES)
+    picks = ", ".join(f"round(min(CASE WHEN cum >= greatest(ceil({q}::DOUBLE * total - 1e-9), 1) THEN {shown} END), 6) AS p{q * 100:g}" for q in QUANTILES)
     names = ", ".join(keys.split())
     return f"""WITH c AS (SELECT {names}, {bucket} AS bucket, count(*) AS n FROM ({rows}) WHERE {_OK} GROUP BY ALL),
 w AS (SELECT *, sum(n) OVER (PARTITION BY {names} ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {names}) AS total FROM c)
