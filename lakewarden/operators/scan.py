@@ -19,6 +19,31 @@ def hits(text: Column, feed: dict[str, tuple[float, str]], least: float = 0.0) -
     return F.array_compact(F.array(*found)) if found else empty
 
 
+CLAIMED = r"(?i)\b(?:i am|i'm|as) (?:an?|the|your) (?:admin(?:istrator)?|developer|owner|manager|engineer|auditor|supervisor)\b|\b(?:authori[sz]ed|approved|cleared) by\b|\bmy (?:manager|supervisor|admin)\b"
+ADMIN_CLAIM = r"(?i)\b(?:i am|i'm|as) (?:an?|the|your) (?:super ?)?admin(?:istrator)?\b"
+PROTECTED = r"(?i)\b(?:passwords?|credentials?|secrets?|system prompt|other tenants?|salar(?:y|ies)|bypass|disable|full access|all (?:records|documents|files))\b"
+
+
+def authority(text: Column, role: Column | None = None) -> Column:
+    """Risk of a claimed authority: 0.45 if a claim and a protected target stand in one sentence or in neighbouring ones, 0.65 if the claim is
+    of being an administrator by one who is not; administrators are exempt. Null and empty texts score 0."""
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
+    at = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)))
+    near = F.transform(at, lambda i: F.array_join(F.slice(pieces, i, 2), " "))
+    claimed = F.exists(near, lambda p: p.rlike(CLAIMED) & p.rlike(PROTECTED))
+    as_admin = F.exists(near, lambda p: p.rlike(ADMIN_CLAIM) & p.rlike(PROTECTED))
+    score = F.when(as_admin, F.lit(0.65)).when(claimed, F.lit(0.45)).otherwise(F.lit(0.0))
+    return F.when(F.coalesce(F.lower(role).isin("admin", "super_admin"), F.lit(False)), F.lit(0.0)).otherwise(score) if role is not None else score
+
+
+def joined_best(df: DataFrame, owner: str, position: str, text: str, score: str, k: int = 3) -> DataFrame:
+    """(owner, joined): the k highest-scoring pieces of a message, joined in reading order; ties go to the earlier piece."""
+    rank = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(score), position))
+    top = df.withColumn("__r", rank).where(F.col("__r") <= k)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t")))), lambda x: x["t"])  # k at most
+    return top.groupBy(owner).agg(F.array_join(parts, " ").alias("joined"))
+
+
 def severity(found: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(found, lambda h: h["severity"])), F.lit(0.0))
 

@@ -170,13 +170,40 @@ def superlative_holds(claim: Column, column: Column, highest: Column, lowest: Co
     return F.when(about & up & ~down, F.coalesce(names(highest), F.lit(False))).when(about & down & ~up, F.coalesce(names(lowest), F.lit(False)))
 
 
+#: Units a value may carry (fixed values); plural and singular count alike, as do signs and codes of a currency.
+UNITS = r"(?i)(%|percent\b|\$|usd\b|€|eur\b|£|gbp\b|\bcredits?\b|\bminutes?\b|\bhours?\b|\bdays?\b|\bweeks?\b|\bmonths?\b|\byears?\b|\bkilobytes?\b)"
+SAME_UNIT = {"percent": "%", "$": "usd", "€": "eur", "£": "gbp"}
+
+
+def units(text: Column) -> Column:
+    """Distinct units named in a text, each in one form."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNITS), F.lit(1)), lambda u: F.regexp_replace(F.lower(u), r"(?<=[a-z]{3})s$", ""))
+    forms = F.create_map(*[F.lit(x) for kv in SAME_UNIT.items() for x in kv])
+    return F.array_distinct(F.transform(found, lambda u: F.coalesce(F.try_element_at(forms, u), u)))
+
+
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
+
+
+def row_named(claim: Column, name: Column, row_no: Column) -> Column:
+    """Whether a claim speaks of a row: by its name, as a whole word, or by its place (the second row, row 2)."""
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(claim), r"[^\p{L}\p{N}%]+", " "), F.lit(" "))
+    own = F.concat(F.lit(" "), F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}%]+", " "), F.lit(" "))
+    place = F.element_at(F.array(*map(F.lit, ORDINALS)), F.least(row_no, F.lit(len(ORDINALS) - 1)) + 1)
+    by_place = low.contains(F.concat(F.lit(" "), place, F.lit(" row "))) & (row_no < len(ORDINALS)) | low.contains(F.concat(F.lit(" row "), (row_no + 1).cast("string"), F.lit(" ")))
+    return F.coalesce(((F.trim(own) != "") & low.contains(own)) | by_place, F.lit(False))
+
+
 def row_value_holds(claim: Column, name: Column, column: Column, cell: Column) -> Column:
-    """Whether a claim about a named row and column states the cell's value; null if it does not name both."""
+    """Whether a claim about a named row and column states the cell's value in the cell's units; null if it does not name both.
+
+    A cell with numbers must be stated number for number; a unit may be left out of the claim only if the column's name has it.
+    """
     low = F.lower(claim)
     about = low.contains(F.lower(name)) & low.contains(F.lower(column)) & (F.length(name) > 0)
     stated = F.array_except(tx.numbers(claim), F.array_union(tx.numbers(name), tx.numbers(column)))
     cell_numbers = tx.numbers(cell)
-    return F.when(about, F.when(F.size(cell_numbers) > 0, tx.contained(cell_numbers, stated) & tx.contained(stated, cell_numbers)).otherwise(low.contains(F.lower(cell))))
+    return F.when(about, F.when(F.size(cell_numbers) > 0, tx.contained(cell_numbers, stated) & tx.contained(stated, cell_numbers) & tx.contained(units(cell), F.array_union(units(claim), units(column))) & tx.contained(units(claim), F.concat(units(cell), units(column), units(name)))).otherwise(low.contains(F.lower(cell))))
 
 
 def reconstructed(sentences: DataFrame, group: str, position: str, text: str, passed: str, heading: str) -> DataFrame:

@@ -46,11 +46,7 @@ def ingest(files: DataFrame, registry: DataFrame, embed: Model | None = None, ju
     return parts.withColumn("scan_status", scan.status(F.col("instr_score"), F.col("embed_score")))
 
 
-CLAIMED = r"(?i)\b(i am|i'm|as) (an?|the|your) (admin(istrator)?|developer|owner|manager|engineer|auditor)\b|\b(authori[sz]ed|approved|cleared) by\b"
-PROTECTED = r"(?i)\b(password|credential|secret|system prompt|other tenant|salary|bypass|disable|full access|all (records|documents))\b"
-
-
-def screen(messages: DataFrame, key: str, ts: str, message_id: str, text: str, classifier: Model | None = None) -> DataFrame:
+def screen(messages: DataFrame, key: str, ts: str, message_id: str, text: str, classifier: Model | None = None, role: str | None = None) -> DataFrame:
     """Messages with detector scores, base risk, the suspicion of their key before them and the action under it.
 
     H: highest severity of a pattern in the decoded, normalised text; A: an authority claim and a protected target in neighbouring sentences; C: a
@@ -60,9 +56,7 @@ def screen(messages: DataFrame, key: str, ts: str, message_id: str, text: str, c
     m = messages.withColumn("__d", decoded(F.col(text)))
     m = m.withColumn("processed", tx.for_scan(F.col("__d.text"))).withColumn("encoding_anomaly", F.col("__d.anomaly")).drop("__d")
     h = scan.severity(scan.hits(F.col("processed"), FEED))
-    s = tx.sentences(F.col("processed"))
-    near = F.exists(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(s, i, 2)).rlike(CLAIMED) & F.concat_ws(" ", F.slice(s, i, 2)).rlike(PROTECTED))
-    m = m.withColumn("h", F.greatest(h, F.when(F.col("encoding_anomaly"), F.lit(0.5)).otherwise(0.0))).withColumn("a", F.when(near, F.lit(0.45)).otherwise(0.0))
+    m = m.withColumn("h", F.greatest(h, F.when(F.col("encoding_anomaly"), F.lit(0.5)).otherwise(0.0))).withColumn("a", scan.authority(F.col("processed"), F.col(role) if role else None))
     m = m.withColumn("c", classifier(F.col("processed")) if classifier is not None else F.lit(0.0))
     m = m.withColumn("refused", filters.admission(F.col(text))).withColumn("base_risk", F.when(F.col("refused").isNotNull(), F.lit(0.0)).otherwise(F.greatest("h", "a", "c")))
     m = m.withColumn("__e", F.when(F.col("refused").isNotNull(), F.lit(0.3)).otherwise(state.evidence_of(F.col("base_risk"), F.col("base_risk") >= 0.80)))
