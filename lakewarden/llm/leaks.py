@@ -6,7 +6,8 @@ of the embedding gives the LSH keys; windows that agree in one key are joined an
 
 Two lossless filters keep the corpus side small: a window with more than ``max_edits`` words that occur in no item cannot be within
 ``max_edits`` of an item window; a key that no item has cannot join. Both use collected sets only below a checked size; beyond it the
-filter is left out and the shuffled join does the work.
+filter is left out. Item windows themselves are held by every task below a checked size, so that nothing but verified pairs is shuffled; beyond it
+windows and item windows meet in a shuffled join.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from lakewarden.runtime import cut, spread
 
 #: Most item words and item keys that are collected as filters (8 bytes each).
 FILTER_LIMIT = 2_000_000
+#: Most item windows and tables (about 130 bytes each) that are handed to every task to be met there; beyond it the join is shuffled.
+HELD_LIMIT = 400_000
 #: Independent walks, sampling tables a walk, and sampled positions a table.
 WALKS, TABLES, SAMPLE = 4, 3, 5
 #: Windows embedded at once.
@@ -88,17 +91,49 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return previous[:, run]
 
 
-def windows_of(df: DataFrame, run: int, plan: list, known: np.ndarray | None = None, keys: np.ndarray | None = None, max_edits: int = 0) -> DataFrame:
-    """(id, pos, key, words) of every window that passes the filters; df is (id, text)."""
+class Items:
+    """Item windows held by every task: keys in order, the window each belongs to, and the windows."""
+
+    def __init__(self, rows: pd.DataFrame, run: int):
+        windows = rows[["id", "pos", "words"]].drop_duplicates(["id", "pos"]).reset_index(drop=True)
+        place = {x: i for i, x in enumerate(zip(windows["id"], windows["pos"]))}
+        owner = np.array([place[x] for x in zip(rows["id"], rows["pos"])], np.int64)
+        order = np.argsort(rows["key"].to_numpy(np.int64), kind="stable")
+        self.keys, self.owner = rows["key"].to_numpy(np.int64)[order], owner[order]
+        self.id, self.pos = windows["id"].to_numpy(np.int64), windows["pos"].to_numpy(np.int64)
+        self.words = np.frombuffer(b"".join(windows["words"]), np.int64).reshape(len(windows), run)
+
+    def met(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, window) pairs that share a key, each once; keys is (n, tables)."""
+        lo, hi = np.searchsorted(self.keys, keys.ravel(), "left"), np.searchsorted(self.keys, keys.ravel(), "right")
+        at = np.nonzero(hi > lo)[0]
+        many = hi[at] - lo[at]
+        row = np.repeat(at // keys.shape[1], many)
+        place = np.repeat(lo[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pair = np.unique(row * np.int64(len(self.id) or 1) + self.owner[place])
+        return pair // (len(self.id) or 1), pair % (len(self.id) or 1)
+
+
+def windows_of(df: DataFrame, run: int, plan: list, known: np.ndarray | None = None, keys: np.ndarray | None = None, max_edits: int = 0, items: Items | None = None) -> DataFrame:
+    """(id, pos, key, words) of every window that passes the filters; df is (id, text).
+
+    With ``items`` windows meet them within the task, and the result is (id, pos, item, item_pos, edits) of verified pairs.
+    """
     sc = df.sparkSession.sparkContext
-    known_b, keys_b = sc.broadcast(known), sc.broadcast(keys)
+    known_b, keys_b, items_b = sc.broadcast(known), sc.broadcast(keys), sc.broadcast(items)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, keys, codes = known_b.value, keys_b.value, Codes()
+        known, keys, items, codes = known_b.value, keys_b.value, items_b.value, Codes()
 
         def flush(ids: list, at: list, views: list) -> pd.DataFrame:
             w = np.concatenate(views)
             k = keys_of(w, plan)
+            if items is not None:
+                row, own = items.met(k)
+                edits = edit_distance(w[row], items.words[own], max_edits)
+                good = edits <= max_edits
+                row, own = row[good], own[good]
+                return pd.DataFrame({"id": np.concatenate(ids)[row], "pos": np.concatenate(at)[row], "item": items.id[own], "item_pos": items.pos[own], "edits": edits[good].astype("int32")})
             if keys is not None:
                 found = np.searchsorted(keys, k.ravel())
                 found[found == len(keys)] = 0
@@ -139,7 +174,7 @@ def windows_of(df: DataFrame, run: int, plan: list, known: np.ndarray | None = N
             if held:
                 yield flush(ids, at, views)
 
-    return df.mapInPandas(emit, "id long, pos long, key long, words binary")
+    return df.mapInPandas(emit, "id long, pos long, item long, item_pos long, edits int" if items is not None else "id long, pos long, key long, words binary")
 
 
 def bounded_set(df: DataFrame, column: str, most: int) -> np.ndarray | None:
@@ -166,8 +201,13 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
             yield pd.DataFrame({"code": np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(w, np.int64) for w in b["words"])]))})
 
     known = bounded_set(item_windows.select("words").mapInPandas(codes, "code long"), "code", FILTER_LIMIT)
-    keys = bounded_set(item_windows, "key", FILTER_LIMIT)
+    held = item_windows.limit(HELD_LIMIT + 1).toPandas() if item_windows.limit(HELD_LIMIT + 1).count() <= HELD_LIMIT else None
+    keys = None if held is not None else bounded_set(item_windows, "key", FILTER_LIMIT)
     doc_rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null"))
+    if held is not None:
+        found = windows_of(doc_rows, run, plan, known, None, max_edits, Items(held, run))
+        found = found.select(F.col("item").alias(item_id), F.col("id").alias(doc_id), F.col("pos").alias("doc_pos"), "item_pos", "edits")
+        return found.groupBy(item_id, doc_id, "doc_pos", "item_pos").agg(F.min("edits").alias("edits"))
     doc_windows = windows_of(doc_rows, run, plan, known, keys, max_edits)
     pairs = (
         doc_windows.select(F.col("id").alias("d"), F.col("pos").alias("dp"), "key", F.col("words").alias("dw"))

@@ -175,7 +175,9 @@ def test_banded_distance():
     assert got.tolist() == [min(edit(x, y), 4) for x, y in zip(a.tolist(), b.tolist())]
 
 
-def test_leaks_exact_and_edited(spark):
+@pytest.mark.parametrize("held", [400_000, 1])
+def test_leaks_exact_and_edited(spark, monkeypatch, held):
+    monkeypatch.setattr(leaks, "HELD_LIMIT", held)
     rng = random.Random(7)
     items = [(i, " ".join(name(rng) for _ in range(30))) for i in range(40)]
     docs, exact, near = [], set(), set()
@@ -237,7 +239,9 @@ def test_leaks_without_filters_and_edges(spark, monkeypatch):
     want = {(1, 1), (1, 4)}
     run = lambda: {(r["item"], r.doc) for r in leaks.contained(docs, items, "doc", "text", "item", "passage").where("edits = 0").collect()}
     assert run() == want
-    monkeypatch.setattr(leaks, "FILTER_LIMIT", 1)  # beyond the limit the filters are left out
+    monkeypatch.setattr(leaks, "HELD_LIMIT", 1)  # beyond the limits windows meet in a shuffled join, then without filters
+    assert run() == want
+    monkeypatch.setattr(leaks, "FILTER_LIMIT", 1)
     assert run() == want
     assert leaks.contained(docs.limit(0), items, "doc", "text", "item", "passage").count() == 0
     assert leaks.contained(docs.where("doc <> 4"), items.limit(0), "doc", "text", "item", "passage").count() == 0
