@@ -103,14 +103,22 @@ def split_text(text: str, limit: int, overlap: int, encode, pattern, sizes: dict
         pieces = cut(0, last, "start", 0)
     out = []
     for k, (lo, hi, name) in enumerate(pieces):
-        begin = lo
+        start = starts[lo]
         if k and overlap:
             # the shortest run of whole atoms before the piece with at least ``overlap`` tokens that still leaves it within the limit
             begin = bisect_right(total, total[lo] - overlap) - 1
-            begin = max(begin, 0)
-            while begin < lo and len(encode(text[starts[begin] : starts[hi]])) > limit:
-                begin += 1
-        out.append((starts[lo], starts[begin], starts[hi], name))
+            begin = at = max(begin, 0)
+            start = starts[begin]
+            if len(encode(text[start : starts[hi]])) > limit:
+                # the word the overlap starts in is too long: start within it, where overlap and limit both hold
+                inside = range(start + 1, starts[begin + 1])
+                fits = (x for x in inside if len(encode(text[x : starts[hi]])) <= limit and len(encode(text[x : starts[lo]])) >= overlap)
+                start = next(fits, -1)
+                while start < 0:
+                    at += 1
+                    if at >= lo or len(encode(text[starts[at] : starts[hi]])) <= limit:
+                        start = starts[min(at, lo)]
+        out.append((starts[lo], start, starts[hi], name))
     return out
 
 
@@ -130,7 +138,7 @@ def pieces(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col:
 
     Bodies ``[body_start, end)`` tile the text exactly; ``text`` is ``[start, end)`` with the overlap before it. Every piece is within the
     limit; only where one character alone has more tokens than the limit is that character a piece of its own. The overlap is the shortest
-    run of whole words with at least ``overlap_tokens`` tokens, shortened only where the limit demands it.
+    run of whole words with at least ``overlap_tokens`` tokens; it starts within a word, or is shorter, only where the limit demands it.
     """
     big = oversized(docs, limits, id_col, text_col, kind_col, folder)
     kind = dict(big.dtypes)[id_col]
