@@ -1,10 +1,11 @@
 """Near-duplicate records by a multi-index Hamming join.
 
-A record is the multiset of its words. Its signature has ``SYMBOLS`` symbols of 8 bits: weighted minimum hashes in which a word counts by the
-square of its inverse document frequency, so that records built from the same phrases but about different things look different. Signatures
-are cut into ``CHUNKS`` chunks; by the pigeonhole principle two signatures that differ in at most ``CHUNKS * (errors + 1) - 1`` symbols
-agree, up to ``errors`` symbols, in some chunk. All error patterns of each chunk are enumerated as keys (the chunk without the symbols in
-error), so every pair within the distance meets in an equi-join. Pairs are then verified exactly on the word multisets.
+A record is the multiset of its words. Its signature has ``SYMBOLS`` symbols of 8 bits: minimum hashes of the multiset's elements, so that two
+signatures agree in a symbol with the similarity that is asked, whatever the words are and however frequent. Signatures are cut into ``CHUNKS``
+chunks; by the pigeonhole principle two signatures that differ in at most ``CHUNKS * (errors + 1) - 1`` symbols agree, up to ``errors`` symbols, in
+some chunk. All error patterns of each chunk are enumerated as keys (the chunk without the symbols in error), so every pair within the distance
+meets in an equi-join. A pair that meets is dropped only if its sizes or its parity sketches prove it too different; all others are verified exactly
+on the word multisets.
 
 Records with equal multisets are one representative, so a group of copies of any size enters the join once.
 """
@@ -20,17 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.wordcodes import Codes, codes_of, frequent
+from lakewarden.llm.wordcodes import Codes, codes_of
 from lakewarden.runtime import cut, spread
 
-SYMBOLS, CHUNKS, ERRORS = 40, 8, 1
+SYMBOLS, CHUNKS, ERRORS = 50, 10, 1
 WIDTH = SYMBOLS // CHUNKS
 #: Guaranteed: all pairs whose signatures differ in at most so many symbols.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Pairs that meet are verified if they differ in at most so many symbols; an exact similarity of 0.7 beyond it is out of reach in practice.
-FAR = 26
-#: Words in more than this share of the records get less weight; their number is bounded by mean words / FRACTION.
-FRACTION = 0.001
+#: Bits of the parity sketch: each is the parity of the elements that fall on it, so sketches differ in no more bits than multisets in elements.
+SKETCH = 256
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -57,18 +56,21 @@ def elements(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(c.astype(np.uint64) * _MIX[0] + k.astype(np.uint64)), c, o
 
 
-def minima(element: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(owners, SYMBOLS) bytes: for each symbol the low bits of the element that wins an exponential race at its weight."""
+def minima(element: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(owners, SYMBOLS) bytes: for each symbol the low bits of the owner's smallest hash."""
     out = np.empty((len(first), SYMBOLS), np.uint8)
-    scale = -1.0 / weight
     for s in range(SYMBOLS):
-        h = mix(element + stream(s + 1))
-        race = np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * scale
-        bits = (race.view(np.int64) & ~np.int64(255)) | (h & np.uint64(255)).astype(np.int64)
-        out[:, s] = np.minimum.reduceat(bits, first) & 255
+        out[:, s] = np.minimum.reduceat(mix(element + stream(s + 1)), first) & np.uint64(255)
     return out
 
 
+def parities(element: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """(owners, LANES) longs: the parity sketch of each owner's elements."""
+    at = owner.astype(np.int64) * SKETCH + (element % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=owners * SKETCH) & 1).astype(np.uint8).reshape(owners, SKETCH)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def multisets(records: DataFrame) -> DataFrame:
     """(id, elements): the sorted 32-bit hashes of a record's (word, occurrence) elements."""
 
@@ -86,30 +88,24 @@ def multisets(records: DataFrame) -> DataFrame:
     return records.mapInPandas(run, "id long, elements binary")
 
 
-LANES = SYMBOLS // 8
+LANES = SKETCH // 64
+SKETCHED = ["n", *[f"s{i}" for i in range(LANES)]]
 
 
-def profiles(records: DataFrame, common: dict[int, float]) -> DataFrame:
-    """(id, same, s0, s1, ...) of (id, text) with at least one word; ``same`` identifies the word multiset, the lanes hold 8 symbols each."""
-    shared = records.sparkSession.sparkContext.broadcast((np.array(sorted(common), np.int64), np.array([common[c] for c in sorted(common)], np.float64)))
+def profiles(records: DataFrame) -> DataFrame:
+    """(id, same, signature, n, s0, s1, ...) of (id, text) with at least one word; ``same`` identifies the word multiset, n is its size, the lanes are its sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, share = shared.value
         memo = Codes()
 
         def flush(ids: list, parts: list) -> pd.DataFrame:
             sizes = [len(p) for p in parts]
-            element, code, owner = elements(np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes))
-            weight = np.ones(len(code))
-            if len(known):
-                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-                hit = known[at] == code
-                weight[hit] = np.maximum(np.log(share[at[hit]]) / np.log(FRACTION), 0.02) ** 2
+            element, _, owner = elements(np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes))
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            signature = minima(element, weight, first)
+            signature = [x.tobytes() for x in minima(element, first)]
             same = [xxhash.xxh3_128_digest(np.sort(element[lo : lo + n]).tobytes()) for lo, n in zip(first.tolist(), sizes)]
-            lanes = signature.view(np.int64)
-            return pd.DataFrame({"id": ids, "same": same} | {f"s{i}": lanes[:, i] for i in range(LANES)})
+            lanes = parities(element, owner, len(parts))
+            return pd.DataFrame({"id": ids, "same": same, "signature": signature, "n": np.array(sizes, np.int32)} | {f"s{i}": lanes[:, i] for i in range(LANES)})
 
         for b in batches:
             ids: list = []
@@ -127,30 +123,25 @@ def profiles(records: DataFrame, common: dict[int, float]) -> DataFrame:
             if ids:
                 yield flush(ids, parts)
 
-    return records.mapInPandas(run, "id long, same binary, " + ", ".join(f"s{i} long" for i in range(LANES)))
+    return records.mapInPandas(run, "id long, same binary, signature binary, n int, " + ", ".join(f"s{i} long" for i in range(LANES)))
 
 
-def differing(x: str, y: str) -> str:
-    """SQL for the number of symbols in which two signatures differ: the bits of each byte are gathered into its lowest."""
-    count = []
-    for i in range(LANES):
-        bits = f"({x}.s{i} ^ {y}.s{i})"
-        for shift in (4, 2, 1):
-            bits = f"({bits} | shiftrightunsigned({bits}, {shift}))"
-        count.append(f"bit_count({bits} & {0x0101010101010101}L)")
-    return " + ".join(count)
+def possible(x: str, y: str, similarity: float) -> str:
+    """SQL that is false only where sizes or sketches prove two multisets less similar: similarity s allows (1 - s) / (1 + s) of all elements to differ."""
+    bits = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(LANES))
+    sizes = f"{x}.n >= {similarity} * {y}.n - 1e-9 and {y}.n >= {similarity} * {x}.n - 1e-9"
+    return f"{sizes} and {bits} <= {(1 - similarity) / (1 + similarity)} * ({x}.n + {y}.n) + 1e-6"
 
 
 def chunk_keys(representatives: DataFrame) -> DataFrame:
-    """(rep, key): for every chunk and error pattern the hash of the symbols outside the errors."""
-    lanes = [f"s{i}" for i in range(LANES)]
+    """(rep, key, n, s0, s1, ...): for every chunk and error pattern the hash of the symbols outside the errors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(17)
         factor = (rng.integers(1, 2**62, SYMBOLS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
         patterns = list(combinations(range(WIDTH), WIDTH - ERRORS))
         for b in batches:
-            symbols = np.ascontiguousarray(b[lanes].to_numpy(np.int64)).view(np.uint8).reshape(len(b), SYMBOLS).astype(np.uint64) + np.uint64(1)
+            symbols = np.frombuffer(b"".join(b["signature"]), np.uint8).reshape(len(b), SYMBOLS).astype(np.uint64) + np.uint64(1)
             products = symbols * factor
             keys = np.empty((len(b), CHUNKS * len(patterns)), np.int64)
             k = 0
@@ -158,9 +149,9 @@ def chunk_keys(representatives: DataFrame) -> DataFrame:
                 for p in patterns:
                     keys[:, k] = mix(products[:, [c * WIDTH + j for j in p]].sum(axis=1, dtype=np.uint64) + stream(k)).view(np.int64)
                     k += 1
-            yield pd.DataFrame({"rep": np.repeat(b["rep"].to_numpy(np.int64), k), "key": keys.ravel()})
+            yield pd.DataFrame({"rep": np.repeat(b["rep"].to_numpy(np.int64), k), "key": keys.ravel()} | {c: np.repeat(b[c].to_numpy(), k) for c in SKETCHED})
 
-    return representatives.select("rep", *lanes).mapInPandas(run, "rep long, key long")
+    return representatives.select("rep", "signature", *SKETCHED).mapInPandas(run, "rep long, key long, n int, " + ", ".join(f"s{i} long" for i in range(LANES)))
 
 
 def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -168,22 +159,17 @@ def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: floa
 
     ``similarity`` is that of the word multisets (words in both over words in either, counted as often as they occur). Ids are longs. Rows
     with a null id are left out. Null, empty and wordless contents belong to no representative; repeated rows count once; an id with several contents is a member of
-    several representatives. Every record's whole text counts. The result of the join is complete within DISTANCE of the signatures; pairs
-    at a similarity of 0.75 are beyond it with a chance of a few in a thousand (a test measures it).
+    several representatives. Every record's whole text counts. A pair meets in no chunk, and is lost, with a chance of 0.0005 at a similarity of 0.7
+    and 0.00005 at 0.75, whatever the frequency of its words and the size of its family (a test holds a family of a third of the rows).
     """
     rows = spread(records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0"))
-    common, _ = frequent(rows.select("text"), FRACTION)
-    base = cut(profiles(rows, common))
+    base = cut(profiles(rows))
     members = base.select("id", "same").distinct()
-    lanes = [f"s{i}" for i in range(LANES)]
-    reps = base.groupBy("same").agg(F.min("id").alias("rep"), *[F.first(s).alias(s) for s in lanes])
+    reps = base.groupBy("same").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("signature", *SKETCHED)])
     members = members.join(reps.select("same", "rep"), "same").select("id", "rep")
     keys = chunk_keys(reps)
-    met = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    # far beyond DISTANCE the word sets cannot be similar enough; up to FAR the exact check decides
-    sign = reps.select("rep", *lanes)
-    near = met.join(sign.alias("p"), F.expr("a = p.rep")).join(sign.alias("q"), F.expr("b = q.rep")).where(f"{differing('p', 'q')} <= {FAR}").select("a", "b")
-    near = cut(near.distinct())
+    met = keys.alias("x").join(keys.alias("y"), F.expr(f"x.key = y.key and x.rep < y.rep and {possible('x', 'y', similarity)}"))
+    near = cut(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = multisets(rows.join(involved, "id", "left_semi")).distinct()
     both = near.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")

@@ -67,6 +67,32 @@ def test_near_copies_equal_brute_force(spark, seed):
     assert {r.id: r["class"] for r in nearcopies.classes(members, pairs).collect()} == label
 
 
+def test_near_copies_of_a_family_holding_a_third_of_the_rows(spark):
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        edited = list(base)
+        for k in rng.sample(range(60), 5):
+            edited[k] = f"rare{rng.randrange(10**9)}"
+        rows.append((i, " ".join(edited)))
+    rows += [(150 + i, " ".join(f"other{rng.randrange(10**9)}" for _ in range(60))) for i in range(300)]
+    bags = {i: bag(t) for i, t in rows}
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if jaccard(bags[i], bags[j]) >= 0.7}
+    members, pairs = nearcopies.near_copies(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    got = {(r.a, r.b) for r in nearcopies.expanded(members, pairs).collect()}
+    assert got <= want and len(got) >= 0.998 * len(want) and len(want) > 10_000
+
+
+def test_near_copies_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 3000):
+        x = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        a, b = x[: n + n // 2], x[n // 2 :]
+        p, q = (nearcopies.parities(e, np.zeros(len(e), int), 1)[0] for e in (a, b))
+        assert sum(int(v).bit_count() for v in (p ^ q).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_near_copies_pigeonhole_guarantee():
     rng = np.random.default_rng(0)
     from itertools import combinations
