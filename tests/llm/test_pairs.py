@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakewarden.functions.text import words
 from lakewarden.llm import leaks, nearcopies, overlaps
@@ -93,6 +94,17 @@ def test_near_copies_sketches_never_exceed_the_difference():
         assert sum(int(v).bit_count() for v in (p ^ q).view(np.uint64)) <= len(np.setxor1d(a, b))
 
 
+def test_near_copies_that_meet_are_dropped_only_by_exact_bounds(spark):
+    rng = random.Random(6)
+    base = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:k] + [f"rare{rng.randrange(10**9)}" for _ in range(60 - k)])) for i, k in enumerate([60, 58, 55, 52, 50] * 4)]
+    bags = {i: bag(t) for i, t in rows}
+    want = {(i, j) for i in bags for j in bags if i < j and jaccard(bags[i], bags[j]) >= 0.7}
+    p = nearcopies.profiles(spark.createDataFrame(rows, "id long, text string"))
+    kept = {tuple(r) for r in p.alias("x").join(p.alias("y"), F.expr(f"x.id < y.id and {nearcopies.possible('x', 'y', 0.7)}")).select("x.id", "y.id").collect()}
+    assert want <= kept and len(want) > 50
+
+
 def test_near_copies_pigeonhole_guarantee():
     rng = np.random.default_rng(0)
     from itertools import combinations
