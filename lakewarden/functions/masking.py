@@ -17,13 +17,19 @@ REDACTED = {
 #: Classes an administrator may ask to see; keys never.
 REVEALABLE = ("SSN", "CREDIT_CARD", "EMAIL")
 SECRETS = {
-    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
-    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "sk_key": r"(?i)sk-[a-z0-9]{20,}",
+    "vendor_key": r"(?<![A-Za-z0-9])sk[-_](?:live|test|proj|svcacct|admin)[-_][A-Za-z0-9_-]{12,}",
+    "aws_key": r"(?i)AKIA[0-9A-Z]{16}",
+    "github_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{30,}",
+    "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}",
+    "google_key": r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{30,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "private_key": r"-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----",
+    "api_key": r"(?i)api[_-]?key[\s:=]+['\"]?[a-z0-9_-]{16,}",
     "bearer": r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{20,}",
     "assigned": r"(?i)\b(?:api[_-]?key|secret|password|passwd|token)\s*[:=]\s*\S{8,}",
 }
-PROMPT_LEAK = r"(?i)\b(?:my|the) system prompt (?:is|says|reads)\b|\byou are an? .{0,40}assistant\b.{0,80}\byou must\b"
+PROMPT_LEAK = r"(?i)system\s+prompt:|\[SYSTEM_INSTRUCTION\]|you\s+are\s+an\s+ai\s+assistant\s+trained\s+by|\b(?:my|the) system prompt (?:is|says|reads)\b|\byou are an? .{0,40}assistant\b.{0,80}\byou must\b"
 
 
 def redacted(text: Column, reveal: tuple[str, ...] = ()) -> Column:
