@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,22 +72,47 @@ def kappa(df: DataFrame, first: str, second: str, keys: list[str] | None = None)
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, id_col: str, resamples: int = 2000, seed: int = 0, error: float = 0.05) -> DataFrame:
     """(keys..., n, mean, low, high): 95 % interval of the mean by the Poisson bootstrap.
 
-    Each row gets a Poisson(1) weight a resample from a hash of (seed, resample, id), so the result does not depend on partitioning. Rows are summed to
-    (group, resample) on the map side: what is shuffled is resamples times groups, never rows.
+    Each row gets a Poisson(1) weight a resample from a hash of (seed, resample, id), so the weights do not depend on partitioning. All resamples of a
+    row are drawn in one pass and added to the sums of its group: what is shuffled is resamples times groups, never rows.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.col(id_col).alias("i"))
-    r = rows.select(*keys, "v", "i", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "i"), F.lit(2**53)).cast("double") / F.lit(float(2**53))
-    weight = F.lit(0)
-    total, term = 0.0, 0.36787944117144233
-    for i in range(1, 9):
-        total += term
-        weight = weight + (u >= total).cast("int")
-        term /= i
-    sums = r.groupBy(*keys, "r").agg(F.sum(weight * F.col("v")).alias("s"), F.sum(weight).alias("w")).where("w > 0")
-    means = sums.groupBy(*keys).agg(F.percentile(F.col("s") / F.col("w"), 0.025).alias("low"), F.percentile(F.col("s") / F.col("w"), 0.975).alias("high"))
-    base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    return base.join(means, keys, "left") if keys else base.crossJoin(means)
+    group = (F.to_json(F.struct(*keys)) if keys else F.lit("")).alias("__g")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, group, F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(10)])
+        offsets = _mixed(np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        held: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for g, x in held.items():
+                yield pd.DataFrame({"__g": g, "r": np.arange(resamples), "s": x[0], "w": x[1]})
+
+        for b in batches:
+            for g, at in b.groupby("__g", sort=False).indices.items():
+                sums = held.setdefault(g, np.zeros((2, resamples)))
+                v, h = b["v"].to_numpy()[at], b["h"].to_numpy(np.int64).view(np.uint64)[at]
+                for lo in range(0, len(v), 256):
+                    bits = (_mixed(h[lo : lo + 256, None] + offsets) >> np.uint64(32)).astype(np.uint32)
+                    weight = np.zeros(bits.shape, np.uint8)
+                    for p in steps[steps < 1 - 2.0**-32]:
+                        weight += bits >= np.uint32(p * 2.0**32)
+                    sums += np.stack([v[lo : lo + 256], np.ones(len(bits))]) @ weight.astype(np.float64)
+            if len(held) > 500:
+                yield from flush()
+                held.clear()
+        yield from flush()
+
+    sums = rows.select("__g", "v", "h").mapInPandas(draw, "__g string, r int, s double, w double").groupBy("__g", "r").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).where("w > 0")
+    means = sums.groupBy("__g").agg(F.percentile(F.col("s") / F.col("w"), 0.025).alias("low"), F.percentile(F.col("s") / F.col("w"), 0.975).alias("high"))
+    base = rows.groupBy("__g", *keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    return base.join(means, "__g", "left").drop("__g")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def threshold_at(df: DataFrame, keys: list[str], score: str, benign: Column, fp: float) -> DataFrame:

@@ -251,7 +251,7 @@ def hidden_attacks(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_latency(spark: SparkSession, d: str) -> DataFrame:
     """95 % intervals of the mean time an action."""
     t = screened(spark, d).where("execution_time_ms > 0 and not isnan(execution_time_ms)")
-    return evaluation.bootstrap_mean(t, ["action"], "execution_time_ms", "trace_id", 200)
+    return evaluation.bootstrap_mean(t, ["action"], "execution_time_ms", "trace_id")
 
 
 @query("""SELECT DISTINCT o_orderkey AS id, o_totalprice > 200000 AS labelled FROM orders""".replace("o_totalprice > 200000", "EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey AND epoch(o_orderdate::TIMESTAMP)::BIGINT < epoch(l.l_shipdate::TIMESTAMP)::BIGINT + 86400 AND epoch(o_orderdate::TIMESTAMP)::BIGINT + 864000 > epoch(l.l_shipdate::TIMESTAMP)::BIGINT)"))

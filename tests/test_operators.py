@@ -394,6 +394,31 @@ def test_bootstrap(spark):
     assert a.low == b.low and a.low < 4.5 < a.high and a.high - a.low == pytest.approx(2 * 1.96 * 2.872 / math.sqrt(500), rel=0.25)
 
 
+def test_bootstrap_query_takes_the_default_resamples(spark, monkeypatch):
+    import inspect
+
+    from lakewarden.plans import reporting
+
+    real, seen = evaluation.bootstrap_mean, {}
+
+    def spy(*args, **named):
+        seen.update(inspect.signature(real).bind(*args, **named).arguments)
+        return args[0]
+
+    monkeypatch.setattr(reporting.evaluation, "bootstrap_mean", spy)
+    rows = spark.createDataFrame([(1.0,)], "execution_time_ms double")
+    monkeypatch.setattr(reporting, "screened", lambda *_: rows)
+    reporting.bootstrap_latency(spark, "")
+    assert seen.get("resamples", 2000) == 2000
+
+
+def test_bootstrap_of_many_and_null_groups(spark):
+    df = spark.createDataFrame([(None if g == 0 else g, i, float(i)) for g in range(600) for i in range(3)], "g int, i int, v double")
+    got = evaluation.bootstrap_mean(df.repartition(3), ["g"], "v", "i", 50).collect()
+    assert len(got) == 600 and all(r.n == 3 and r["mean"] == 1.0 and 0 <= r.low <= r.high <= 2 for r in got)
+    assert evaluation.bootstrap_mean(df, [], "v", "i", 50).count() == 1
+
+
 def test_span_overlap_and_facts(spark):
     s = spark.createDataFrame([("a", 0, 10), ("a", 10, 20), ("b", 0, 5)], "k string, start int, end int")
     lab = spark.createDataFrame([("a", 5, 10), ("a", 6, 9), ("b", 5, 9)], "k string, a int, b int")
