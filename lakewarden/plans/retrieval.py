@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.functions import masking
 from lakewarden.functions import text as tx
 from lakewarden.functions import vectors as vx
 from lakewarden.operators import evaluation, filters, reports, scan, search, store, trust, verify
+from lakewarden.plans import pipelines
 from lakewarden.plans.feed import FEED
 from lakewarden.plans.registry import query
-from lakewarden.runtime import spread, table
+from lakewarden.runtime import cut, spread, table
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -23,19 +24,67 @@ CANDIDATES = "(SELECT DISTINCT ON (candidate_id) candidate_id, trace_id, content
 _WORDS_SQL = "list_filter(string_split_regex(lower({}), '\\s+'), lambda t: t <> '')"
 
 
+def source_tier(source: Column) -> Column:
+    return F.when(source.isin("it_policy_portal", "legal_register", "hr_handbook"), "official").when(source.isin("partner_faq", "support_macros"), "unknown").otherwise("verified_internal")
+
+
 @query()
 def evidence_for_question(spark: SparkSession, d: str) -> DataFrame:
-    """For a question, the passages that may be shown: keyword search, tiers by source, redaction, order, budget and labels."""
-    docs = spread(table(spark, d, "documents").where("text is not null and lang = 'en'").select("doc_id", "text", "source"))
+    """For a question asked in the tenant with the most documents, the passages that may be shown: keyword search over all that the tenant may see, then the
+    whole evidence pipeline. The hash on record is that of a text as long as the table says; documents have no access tier, so strict authorization
+    needs the full clearance."""
+    docs = table(spark, d, "documents")
+    # one value: the asker's tenant
+    tenant = (docs.where("tenant_id <> ''").groupBy("tenant_id").count().orderBy(F.desc("count"), "tenant_id").select("tenant_id").first() or [""])[0]
+    seen = spread(docs.where((F.col("tenant_id") == tenant) & F.col("text").isNotNull()))
     asked = spark.createDataFrame([(1, "how many days may data stewards keep audit logs when a restore test fails")], "question_id long, question string")
-    top = search.bm25(asked, docs.select("doc_id", "text"), 16, "question_id", "question", "doc_id", "text")
-    src = F.when(F.col("source").isin("it_policy_portal", "legal_register", "hr_handbook"), "official").when(F.col("source").isin("partner_faq", "support_macros"), "unknown").otherwise("verified_internal")
-    rows = top.join(docs.select("doc_id", "text", "source"), "doc_id").withColumn("source_tier", src)
-    rows = rows.withColumn("tier", trust.tier(F.lit(True), F.lit(True), trust.source_score(F.col("source_tier")) >= 0.6, F.lit(True), F.col("source_tier")))
-    rows = trust.ordered(rows, ["question_id"], "tier", "score", "doc_id")
-    rows = search.budget_prefix(rows, ["question_id"], [F.col("place")], F.size(tx.tokens(F.col("text"))), 1800, 10)
-    rows = search.labelled(rows, ["question_id"], [F.col("place")], "text", 20000)
-    return rows.withColumn("shown", masking.redacted(F.col("text"))["text"]).select("question_id", "label", "doc_id", "tier", F.round("score", 6).alias("score"), "running", "shown")
+    top = search.bm25(asked, seen.select("doc_id", "text"), 16, "question_id", "question", "doc_id", "text")
+    rows = top.join(seen.select("doc_id", "text", "source", "n_chars", "tenant_id"), "doc_id").withColumn("source_tier", source_tier(F.col("source")))
+    found = scan.instruction_score(scan.hits(tx.for_scan(F.col("text")), FEED))
+    rows = rows.select("question_id", "doc_id", "tenant_id", "source_tier", F.col("text").alias("content"), F.when(F.length("text") == F.col("n_chars"), F.sha2("text", 256)).alias("expected_sha256"), F.lit(None).cast("int").alias("acl_tier"), F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("version"), trust.source_score(F.col("source_tier")).alias("source_score"), scan.status(found, F.lit(0.0)).alias("scan_status"), F.round(found, 3).alias("anomaly_score"), F.col("score").alias("relevance_score"), F.col("doc_id").cast("string").alias("chunk_uid"), F.lit(None).cast("string").alias("parent_id"))
+    shown = pipelines.evidence(rows, "question_id", F.lit(tenant), F.lit(3))
+    return shown.select("question_id", "label", "doc_id", F.col("trust_tier").alias("tier"), F.round("relevance_score", 6).alias("score"), "running", F.col("redaction.text").alias("shown"))
+
+
+@query()
+def ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as chunks, scanned and with their version; equal texts come in once, under the smallest id."""
+    docs = spread(table(spark, d, "documents").where("text is not null"))
+    files = docs.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min_by(F.struct("doc_id", "tenant_id", "source", "ingested_at", "text"), "doc_id").alias("f"))
+    files = files.select("content_hash", "f.tenant_id", F.col("f.doc_id").cast("string").alias("document_id"), source_tier(F.col("f.source")).alias("source_tier"), "f.ingested_at", F.col("f.text").alias("content"))
+    parts = pipelines.ingest(files, table(spark, d, "doc_registry"))
+    return parts.select("document_id", "tenant_id", "chunk_id", "chunk_uid", "version", "source_tier", "scan_status", "anomaly_score")
+
+
+@query()
+def screened_messages(spark: SparkSession, d: str) -> DataFrame:
+    """All questions through the screening pipeline, in the order of their session."""
+    t = table(spark, d, "threat_results").select("trace_id", "session_key", "original_query", (F.unix_micros("evaluated_at") / F.lit(1e6)).alias("ts")).dropDuplicates(["trace_id"])
+    m = pipelines.screen(spread(t), "session_key", "ts", "trace_id", "original_query")
+    return m.select("trace_id", "session_key", "refused", F.round("base_risk", 6).alias("base_risk"), F.round("suspicion_before", 6).alias("suspicion_before"), "action")
+
+
+def shown_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence pipeline over all candidates, each question in its own tenant; the greatest hash of a registered chunk stands for the record."""
+    asked = table(spark, d, "layer2_results").groupBy("trace_id").agg(F.any_value("tenant_id").alias("asked"))
+    c = spread(candidates(spark, d)).withColumn("key", trust.content_key(F.col("chunk_uid")))
+    known = c.join(table(spark, d, "doc_registry").select(F.col("content_hash").alias("key")), "key").groupBy("key", "chunk_id").agg(F.max(F.sha2("content", 256)).alias("expected_sha256"))
+    c = c.drop("trust_tier").join(known, ["key", "chunk_id"], "left").join(asked, "trace_id", "left").withColumn("parent_id", F.lit(None).cast("string"))
+    return pipelines.evidence(c, "trace_id", F.col("asked"), F.lit(2))
+
+
+@query()
+def evidence_of_traces(spark: SparkSession, d: str) -> DataFrame:
+    """For every question, the candidates that may be shown, with their tier and redacted text."""
+    return shown_evidence(spark, d).select("trace_id", "label", "candidate_id", "trust_tier", "running", F.col("redaction.text").alias("shown"))
+
+
+@query()
+def verified_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every answer against the evidence its question may be shown."""
+    a = table(spark, d, "query_responses").where("answer is not null").dropDuplicates(["response_id"])
+    claims = a.select("trace_id", F.posexplode(verify.sentences_marked(verify.without_citations(F.col("answer")))).alias("n", "s"), "response_id").select("trace_id", F.concat_ws("-", "response_id", "n").alias("claim"), F.col("s.text").alias("claim_text"))
+    return pipelines.verified(claims, cut(shown_evidence(spark, d).select("trace_id", "candidate_id", "content")), "trace_id", "claim", "claim_text", "candidate_id", "content")
 
 
 @query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
