@@ -74,6 +74,33 @@ def p3_combined_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(percentiles.percentiles(monthly, ["tenant_id", "month"], QUANTILES))
 
 
+def policy_timings(spark: SparkSession, d: str, name: str, kind: str) -> DataFrame:
+    """Timings with the policy version of their question: its own column, or that of threat_results by trace_id."""
+    t = timings(spark, d, name, kind)
+    if "policy_version" in table(spark, d, name).columns:
+        return t
+    known = table(spark, d, "threat_results").groupBy("trace_id").agg(F.max("policy_version").alias("policy_version"))
+    return t.drop("policy_version").join(known, "trace_id", "left")
+
+
+def _policy_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Daily summaries of both tables, mergeable into longer spans."""
+    parts = [percentiles.summary(policy_timings(spark, d, name, kind).withColumn("origin", F.lit(name)), ["origin", *KEYS], "ms") for name, kind in (("threat_results", "action"), ("layer2_results", "status"))]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_policy_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_daily_percentiles, with the policy version of both tables."""
+    return _rounded(percentiles.percentiles(_policy_summaries(spark, d), ["origin", *KEYS], QUANTILES))
+
+
+def p3_policy_months(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles a table, tenant, action or status, policy version and month, combined from the daily summaries of both tables."""
+    keys = ["origin", "tenant_id", "kind", "policy_version", "month"]
+    monthly = percentiles.merged(_policy_summaries(spark, d).withColumn("month", F.trunc("day", "month")), keys)
+    return _rounded(percentiles.percentiles(monthly, keys, QUANTILES))
+
+
 def p3_exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles a status, with values themselves as buckets."""
     return _rounded(percentiles.percentiles(percentiles.summary(timings(spark, d, "layer2_results", "status"), ["kind"], "ms", error=None), ["kind"], QUANTILES, error=None))
@@ -163,7 +190,11 @@ def oracle_sql() -> dict[str, str]:
     threat = _TIMES.format(kind="action", policy="policy_version", name="threat_results")
     layer2 = _TIMES.format(kind="status", policy="NULL::VARCHAR", name="layer2_results")
     log_bucket, log_shown = f"ceil(ln(ms) / ln({_G}))", f"pow({_G}, bucket) * (2 / ({_G} + 1))"
+    traced = f"SELECT l.trace_id, l.tenant_id, l.kind, t.policy_version, l.day, l.ms FROM {layer2} l LEFT JOIN (SELECT trace_id, max(policy_version) AS policy_version FROM threat_results GROUP BY trace_id) t USING (trace_id)"
+    both = f"SELECT 'threat_results' AS origin, * FROM {threat} UNION ALL SELECT 'layer2_results', * FROM ({traced})"
     return {
+        "p3_policy_percentiles": _percentile_sql(both, "origin tenant_id kind policy_version day", log_bucket, log_shown),
+        "p3_policy_months": _percentile_sql(f"SELECT *, CAST(date_trunc('month', day) AS DATE) AS month FROM ({both})", "origin tenant_id kind policy_version month", log_bucket, log_shown),
         "p3_daily_percentiles": _percentile_sql(f"SELECT 'threat_results' AS origin, * FROM {threat} UNION ALL SELECT 'layer2_results', * FROM {layer2}", "origin tenant_id kind policy_version day", log_bucket, log_shown),
         "p3_combined_percentiles": _percentile_sql(f"SELECT *, CAST(date_trunc('month', day) AS DATE) AS month FROM {threat}", "tenant_id month", log_bucket, log_shown),
         "p3_exact_percentiles": _percentile_sql(f"SELECT * FROM {layer2}", "kind", "ms", "bucket"),

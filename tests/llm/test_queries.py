@@ -23,6 +23,12 @@ def test_runs(name, spark, data):
     queries.queries()[name](spark, data).count()
 
 
+def test_both_tables_have_their_policy_version(spark, data):
+    for name in ("p3_policy_percentiles", "p3_policy_months"):
+        rows = queries.queries()[name](spark, data).where("origin = 'layer2_results'")
+        assert rows.where("policy_version is not null").count() > 0 and rows.where("policy_version is null").count() == 0
+
+
 def test_rest_does_not_import_this_subpackage():
     import os
     import re
