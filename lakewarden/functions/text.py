@@ -50,10 +50,14 @@ def word_array(text: Column) -> Column:
 STOP_WORDS = (
     "the a an of to in and or is are was were for on that with as by it this be from at their its can has have"
 ).split()
+#: Where sentences end, what a number is and what negates (fixed values, on which results depend).
 SENTENCE_BREAK = r"(?<=[.!?])\s+|\n+"
 NUMBER = r"\d[\d,]*\.?\d*"
 NEGATION = r"(?i)\b(?:not|no|never|cannot|without|neither|nor)\b|n't"
 
+#: Evidence labels in brackets, as an answer cites them.
+CITED = r"\[\s*(E\d+(?:[\s,]+E\d+)*)\s*\]"
+
 
 def tokens(text: Column) -> Column:
     """Lower-case, blank-separated tokens; none for null and blank texts."""
@@ -90,6 +94,7 @@ def contained(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
+#: A number with an optional currency sign (fixed value).
 _NUM = r"\$?(\d[\d,]*\.?\d*)"
 #: Ways to state a span of numbers (fixed values): kind -> pattern; group 1 (and 2) are its ends.
 RANGES = {
