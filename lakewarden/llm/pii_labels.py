@@ -1,21 +1,22 @@
-"""Labelled spans for training the personal-information tagger, and the exact checks of its finds.
+"""Weak labels of real texts for training the personal-information tagger; nothing at run time uses them.
 
-The labeller reads shapes (addresses, numbers) and name forms around a list of given names; the tagger learns from what it labels, and may only
-report what the same shapes confirm.
+Shapes label mail addresses, telephone and identity numbers and street addresses. Names are labelled where a title, an initial or a common given
+name stands before a family name; two capitalised words that are neither that nor made of common words or nouns of places and units are *unsure*: a
+window with one is left out of the training.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
-KINDS = ("email", "phone", "id_number", "street_address", "person_name")
+from lakewarden.llm import pii_forms
+from lakewarden.llm.pii import JOINING, KINDS
 
-#: Given names known to the labeller (fixed values).
-GIVEN = frozenset(
-    "aisha amara andrés anna beatriz bruno carmen chloé clara daniel diego elena emil farah felix greta hana henrik hugo ines ingrid ivan jonas "
-    "julia jürgen leila lucia louis marek mateo mira monika nadia nils noemi omar oskar paula pavel pierre rafael renée ruth salma samir sofia "
-    "stefan teresa tomas viktor yusuf zoë".split()
-)
+_bare = lambda w: "".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c))
+#: Given names known to the labeller.
+GIVEN = frozenset(_bare(x) for names in pii_forms.GIVEN.values() for x in names)
+NOUNS = frozenset(x.lower() for x in [*pii_forms.PLACES_AFTER, *pii_forms.UNITS_AFTER, *(x for v in pii_forms.UNITS_BEFORE.values() for x in v)]) | JOINING
 _AT = r"(?:\s*[\[({]\s*(?:at|arroba|ät)\s*[\])}]\s*)"
 _DOT = r"(?:\s*[\[({]\s*(?:dot|punto|point|punkt)\s*[\])}]\s*|\s+(?:dot|punto|point|punkt)\s+)"
 _LOCAL = r"[^\W_](?:[\w.+%'-]{0,62}[^\W_])?"
@@ -47,11 +48,10 @@ STREET = re.compile(
 )
 _TITLE = r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|sr|sra)"
 _FAMILY = r"(?:[od]['’])?[^\W\d_]{3,}(?:-[^\W\d_]{3,})?"
-_FIRST = "(?P<first>" + "|".join(sorted(GIVEN)) + ")"
-_NAMED = re.compile(rf"(?<![\w@.])(?P<title>{_TITLE}\.?\s+)?{_FIRST}\s+(?:(?P<middle>[^\W\d_])\.\s+)?(?P<family>{_FAMILY})(?![\w@])", re.I)
-_INITIAL = re.compile(rf"(?<![\w@.'’-])(?P<initial>[^\W\d_])\.\s+(?P<family>{_FAMILY})(?![\w@])", re.I)
+_WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_PAIR = re.compile(rf"(?<![\w@.])(?P<first>{_WORD})(?P<mark>\.?)(?:\s+(?P<middle>[^\W\d_])\.)?\s+(?P<family>{_WORD})(?![\w@])")
 _TITLED = re.compile(rf"(?<![\w@.])(?P<title>{_TITLE})(?:\.\s+|\s+)(?P<family>{_FAMILY})(?![\w@])", re.I)
-_REVERSED = re.compile(rf"(?<![\w@.])(?P<family>{_FAMILY}),\s+{_FIRST}(?!\w)(?:\s+[^\W\d_]\.(?!\w))?", re.I)
+_REVERSED = re.compile(rf"(?<![\w@.])(?P<family>{_FAMILY}),\s+(?P<first>{_WORD})(?!\w)(?:\s+[^\W\d_]\.(?!\w))?")
 
 
 def digits(text: str) -> int:
@@ -75,34 +75,47 @@ def shaped(kind: str, text: str) -> list[tuple[int, int]]:
     return found
 
 
-def names(text: str, common: frozenset[str] | set[str]) -> list[tuple[int, int]]:
-    """Name spans: a family name (no common word) with a given name, an initial or a title. Letter case counts where the text mixes it."""
+def names(text: str, common: frozenset[str] | set[str], given: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(name spans, unsure spans). Letter case counts where the text mixes it."""
     cased = not (text.isupper() or text.islower())
-    found = []
+    found, unsure = [], []
 
-    def family(word: str) -> bool:
-        parts = re.split(r"['’-]", word)
-        return (not cased or word[0].isupper()) and not any(p.lower() in common for p in parts if len(p) > 1)
+    def capital(word: str) -> bool:
+        return not cased or word[0].isupper()
 
-    for m in _NAMED.finditer(text):
-        if (not cased or m["first"][0].isupper()) and family(m["family"]):
-            found.append(m.span())
+    def plain(word: str) -> bool:
+        return any(p.lower() in common or p.lower() in NOUNS for p in re.split(r"['’-]", word) if len(p) > 1)
+
+    at = 0
+    while m := _PAIR.search(text, at):
+        first, family = m["first"], m["family"]
+        at = m.end("first")
+        if not (capital(first) and capital(family)) or len(family) < 3 or plain(family):
+            continue
+        if _bare(first) in GIVEN or _bare(first) in given or (len(first) == 1 and m["mark"]):
+            before = re.search(rf"(?<![\w@.]){_TITLE}\.?\s+$", text[: m.start()], re.I)
+            found.append((before.start() if before else m.start(), m.end()))
+            at = m.end()
+        elif not plain(first) and len(first) > 1 and not m["mark"] and not (cased and len(family) <= 3 and family.isupper()):
+            unsure.append(m.span())
     for m in _REVERSED.finditer(text):
-        if (not cased or m["first"][0].isupper()) and family(m["family"]):
-            found.append(m.span())
-    for pattern in (_TITLED, _INITIAL):
-        for m in pattern.finditer(text):
-            lead = m[1]
-            if (not cased or lead[0].isupper()) and family(m["family"]) and m["family"].lower() not in GIVEN:
+        if capital(m["first"]) and capital(m["family"]) and not plain(m["family"]):
+            if _bare(m["first"]) in GIVEN or _bare(m["first"]) in given:
                 found.append(m.span())
-    return found
+            elif not plain(m["first"]):
+                unsure.append(m.span())
+    for m in _TITLED.finditer(text):
+        if capital(m["title"]) and capital(m["family"]) and not plain(m["family"]) and _bare(m["family"]) not in GIVEN:
+            found.append(m.span())
+    return found, unsure
 
 
-def label(text: str, common: set[str]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of a text, without overlaps; addresses and numbers first."""
+def label(text: str, common: set[str], given: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """(spans: start, end, kind, without overlaps, addresses and numbers first; unsure spans)."""
     taken: list[tuple[int, int, str]] = []
+    named, unsure = names(text, common, given)
     for kind in KINDS:
-        for lo, hi in names(text, common) if kind == "person_name" else shaped(kind, text):
+        for lo, hi in named if kind == "person_name" else shaped(kind, text):
             if all(hi <= a or lo >= b for a, b, _ in taken):
                 taken.append((lo, hi, kind))
-    return sorted(taken)
+    return sorted(taken), [(lo, hi) for lo, hi in unsure if all(hi <= a or lo >= b for a, b, _ in taken)]

@@ -1,78 +1,110 @@
-"""Training of the personal-information tagger with numpy: ``python -m lakewarden.llm.pii_train TABLE_DIR [OUT]``.
+"""Training of the personal-information tagger with numpy: ``python -m lakewarden.llm.pii_train TABLE_DIR [OUT [SECONDS [FIRST]]]``.
 
-Texts of ``candidates`` and ``query_responses`` are labelled by ``pii_labels``; all texts with spans and a third of the others (by hash)
-are cut into windows; one window in ten is held out and scored at the end. Bounds: MOST_TEXTS texts, EPOCHS passes. A text with spans is also read with its
-spans exchanged for others of their kind, so that every form meets every context.
+Two sources of labelled spans: texts composed by ``pii_forms`` (exact spans, new spellings in every text), and texts of ``candidates`` and
+``query_responses`` labelled weakly by ``pii_labels``, also with their spans exchanged for composed ones, so that new forms meet real contexts; windows
+with an unsure name are left out. A second run, from the weights of a first one, also knows the given names that one discovered in the texts. Bounds: MOST_TEXTS real texts, COMPOSED texts, EPOCHS passes. One window in twenty is held out and scored at the end.
+Each step's batch is shared by WORKERS processes that send their gradients back.
 """
 
 from __future__ import annotations
 
+import multiprocessing
+import os
 import re
 import sys
+import time
 from collections import Counter
 
 import numpy as np
 import xxhash
 
-from lakewarden.llm import pii, pii_labels
+from lakewarden.llm import pii, pii_forms, pii_labels
 
-MOST_TEXTS, WORDS, EPOCHS = 20_000, 1_500, 14
-HIDDEN, EMBED, LENGTH, BATCH, RATE = 24, 32, 160, 128, 5e-3
-TAGS = len(pii_labels.KINDS) + 1
+MOST_TEXTS, COMPOSED, EPOCHS, WORKERS = 20_000, 130_000, 8, 8
+HIDDEN, EMBED, LENGTH, BATCH, RATE = 40, 24, 128, 48, 6e-3
+TAGS = len(pii.KINDS) + 1
 
 
-def vocabularies(texts: list[str]) -> tuple[list[str], set[str]]:
-    """The common words that are single symbols, and the words no family name consists of."""
+def common_words(texts: list[str]) -> set[str]:
+    """Words that occur in lower case in several texts, or in one text of fifty in any case: no names."""
     low, any_case = Counter(), Counter()
     for t in texts:
-        w = set(re.findall(r"[^\W\d_]+", t))
-        low.update(x for x in w if x.islower())
+        w = set(re.findall(r"(?<![\w@.])[^\W\d_]+(?![\w@]|\.\w)", t))  # parts of mail addresses are no words
+        if not t.islower():  # in a text without capitals a name is no common word
+            low.update(x for x in w if x.islower())
         any_case.update({x.lower() for x in w})
-    common = {w for w, n in low.items() if n >= len(texts) * 4e-4} | {w for w, n in any_case.items() if n >= len(texts) * 4e-3 and w not in pii_labels.GIVEN}
-    symbols = [w for w, _ in low.most_common() if len(w) > 1 and w not in pii_labels.GIVEN][:WORDS]
-    return symbols, common
+    return {w for w, n in low.items() if n >= len(texts) * 4e-4} | {w for w, n in any_case.items() if n >= len(texts) * 2e-2}
 
 
-def exchanged(text: str, spans: list, pool: dict[str, list[str]], rng: np.random.Generator) -> tuple[str, list]:
-    """The text with each span replaced by a random one of its kind, and the new spans."""
-    parts, new, at, length = [], [], 0, 0
-    for lo, hi, kind in spans:
-        other = pool[kind][rng.integers(len(pool[kind]))]
+def exchanged(text: str, spans: list, unsure: list, forms: pii_forms.Forms) -> tuple[str, list, list]:
+    """The text with each span replaced by a composed one of its kind, and the places of all spans."""
+    parts, new, doubt, at, length = [], [], [], 0, 0
+    lang = forms.of(pii_forms.LANGS)
+    for lo, hi, kind in sorted([*spans, *((lo, hi, None) for lo, hi in unsure)]):
+        other = text[lo:hi] if kind is None else getattr(forms, kind)(lang)
+        if kind == "id_number" and other.isdigit():
+            other = text[lo:hi]
         parts += [text[at:lo], other]
         length += lo - at
-        new.append((length, length + len(other), kind))
+        (doubt if kind is None else new).append((length, length + len(other), kind))
         length += len(other)
         at = hi
-    return "".join(parts) + text[at:], new
-
-
-def samples(texts: list[str], vocabulary: dict[str, int], common: set[str], rng: np.random.Generator):
-    xs, ys = [], []
-    labelled = [(t, pii_labels.label(t, common)) for t in texts]
-    pool: dict[str, list[str]] = {k: [] for k in pii_labels.KINDS}
-    for t, spans in labelled:
-        for lo, hi, kind in spans:
-            pool[kind].append(t[lo:hi])
-    for t, spans in labelled:
-        if not spans and xxhash.xxh3_64_intdigest(t) % 3:
-            continue
-        original = (t, spans)
-        for copy in range(4 if spans else 1):
-            t, spans = original if copy in (0, 1) else exchanged(*original, pool, rng)
-            # now and then common words are read by letters
-            v = vocabulary if copy in (0, 2) else {w: i for w, i in vocabulary.items() if rng.random() < 0.8}
-            items, coded, x = pii.encode(t, pii.Encoder(v))
-            tags = np.zeros(len(x), np.int64)
-            s = pii.offsets(items, coded)[0]
-            for lo, hi, kind in spans:
-                tags[(s >= lo) & (s < hi)] = pii_labels.KINDS.index(kind) + 1
-            for at in range(0, len(x), LENGTH - 30):
-                if at and len(x) - at <= 30:
-                    break
-                if spans and not tags[at : at + LENGTH].any() and rng.random() < 0.5:
-                    continue
-                xs.append(x[at : at + LENGTH])
-                ys.append(tags[at : at + LENGTH])
+    return "".join(parts) + text[at:], new, [x[:2] for x in doubt]
+
+
+def windows(text: str, spans: list, unsure: list, xs: list, ys: list, rng: np.random.Generator, keep: float = 1.0) -> None:
+    """Add the windows of a text's stretches; those without a span with a chance of ``keep``."""
+    code = pii.codes(text)
+    tags = np.zeros(len(code), np.int8)
+    for lo, hi, kind in spans:
+        tags[lo:hi] = pii.KINDS.index(kind) + 1
+    for lo, hi in unsure:
+        tags[lo:hi] = -1
+    for lo, hi in pii.stretches(text):
+        for at in range(lo, hi, LENGTH - 32):
+            if at > lo and hi - at <= 32:
+                break
+            y = tags[at : min(hi, at + LENGTH)]
+            if (y < 0).any() or (not y.any() and rng.random() > keep):
+                continue
+            xs.append(pii.SYMBOL[code[at : min(hi, at + LENGTH)]].astype(np.int16))
+            ys.append(y)
+
+
+def discovered(texts: list[str], common: set[str], weights: str, least: int = 3, share: float = 0.25) -> frozenset[str]:
+    """Given names a first model finds in the texts: words that begin ``least`` unsure names and are part of a find in ``share`` of them."""
+    tagger, there, found = pii.Tagger(weights), Counter(), Counter()
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        for t, tagged in zip(part, tagger.tag(part)):
+            for lo, hi in pii_labels.label(t, common)[1]:
+                words = re.findall(r"[^\W\d_]+", t[lo:hi])
+                first = pii_labels._bare(words[-1] if "," in t[lo:hi] else words[0])
+                there[first] += 1
+                found[first] += any(k == "person_name" and 2 * (min(b, hi) - max(a, lo)) > hi - lo for a, b, k in tagged)
+    return frozenset(w for w, n in there.items() if n >= least and found[w] >= share * n)
+
+
+def samples(texts: list[str], rng: np.random.Generator, first: str | None = None):
+    xs: list = []
+    ys: list = []
+    forms = pii_forms.Forms(rng)
+    common = common_words(texts)
+    fillers: list[str] = []
+    known = discovered(texts, common, first) if first else frozenset()
+    for t in texts:
+        spans, unsure = pii_labels.label(t, common, known)
+        windows(t, spans, unsure, xs, ys, rng, keep=0.35)
+        if spans:
+            windows(t, spans, unsure, xs, ys, rng, keep=0.1)
+            for _ in range(3):
+                windows(*exchanged(t, spans, unsure, forms), xs, ys, rng, keep=0.1)
+        elif not unsure and len(fillers) < 20_000:
+            fillers += [x for x in re.split(r"(?<=[.!?])\s+", t) if 10 < len(x) < 200][:4]
+    forms.plain = sorted(w for w in common if len(w) > 2 and w not in pii_labels.GIVEN)
+    for _ in range(COMPOSED):
+        t, spans = pii_forms.composed(forms, list(pii.KINDS), fillers)
+        windows(t, spans, [], xs, ys, rng)
     return xs, ys
 
 
@@ -155,91 +187,129 @@ def crf(em, tags, mask, trans, start):
     return float((z - seq).mean()), (p - gold) / n, dtrans / n, (p[0] - gold[0]).sum(0) / n
 
 
-def train(texts: list[str], out: str = pii.WEIGHTS, seed: int = 3, epochs: int = EPOCHS, report=print) -> None:
+def gradients(w: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray, back: np.ndarray) -> tuple[float, dict]:
+    xb = np.take_along_axis(x, back, 0)
+    ef, eb = w["E"][x], w["E"][xb]
+    sf, sb = lstm_forward(ef, w, "f"), lstm_forward(eb, w, "b")
+    hb = np.take_along_axis(sb[0][1:], back[:, :, None], 0)
+    both = np.concatenate([sf[0][1:], hb], 2)
+    em = both @ w["Wo"] + w["bo"]
+    loss, dem, dtrans, dstart = crf(em, y, mask, w["trans"], w["start"])
+    g = {"trans": dtrans, "start": dstart, "Wo": both.reshape(-1, 2 * HIDDEN).T @ dem.reshape(-1, TAGS), "bo": dem.sum((0, 1))}
+    dboth = dem @ w["Wo"].T
+    de_f = lstm_backward(dboth[:, :, :HIDDEN], ef, sf, w, "f", g)
+    de_b = lstm_backward(np.take_along_axis(dboth[:, :, HIDDEN:], back[:, :, None], 0), eb, sb, w, "b", g)
+    ge = np.zeros_like(w["E"])
+    flat = np.concatenate([x.ravel(), xb.ravel()])
+    values = np.concatenate([de_f.reshape(-1, EMBED), de_b.reshape(-1, EMBED)])
+    by = np.argsort(flat, kind="stable")
+    ids, first = np.unique(flat[by], return_index=True)
+    ge[ids] = np.add.reduceat(values[by], first, axis=0)
+    g["E"] = ge
+    return loss, g
+
+
+def load(xs: list, ys: list, ids: np.ndarray):
+    steps = max(len(xs[i]) for i in ids)
+    x, y, mask = np.zeros((steps, len(ids)), np.int64), np.zeros((steps, len(ids)), np.int64), np.zeros((steps, len(ids)), np.float32)
+    back = np.zeros((steps, len(ids)), np.int64)
+    for j, i in enumerate(ids):
+        n = len(xs[i])
+        x[:n, j], y[:n, j], mask[:n, j] = xs[i], ys[i], 1
+        back[:, j] = np.concatenate([np.arange(n)[::-1], np.arange(n, steps)])
+    return x, y, mask, back
+
+
+def worker(pipe, xs: list, ys: list) -> None:
+    while (job := pipe.recv()) is not None:
+        w, ids = job
+        pipe.send(gradients(w, *load(xs, ys, ids)))
+
+
+def train(texts: list[str], out: str = pii.WEIGHTS, seed: int = 3, epochs: int = EPOCHS, seconds: float = 1e9, first: str | None = None, report=print) -> None:
+    """Train and write the weights; ends early, with the rate run down, when ``seconds`` are over.
+
+    With the weights of a ``first`` model training goes on from them, and given names it discovers in the real texts count as known.
+    """
     rng = np.random.default_rng(seed)
     texts = sorted(set(texts), key=xxhash.xxh3_64_intdigest)[:MOST_TEXTS]
-    symbols, common = vocabularies(texts)
-    vocabulary = {w: pii.WORDS_FROM + i for i, w in enumerate(symbols)}
-    xs, ys = samples(texts, vocabulary, common, rng)
-    cut = len(xs) // 10
+    xs, ys = samples(texts, rng, first)
+    cut = len(xs) // 20
     order = rng.permutation(len(xs))
     held, used = order[:cut], order[cut:]
     init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    w = {"E": init(pii.WORDS_FROM + len(symbols), EMBED) * 6}
+    w = {"E": init(pii.SYMBOLS, EMBED) * 6}
     for d in "fb":
         w |= {f"Wx_{d}": init(EMBED, 4 * HIDDEN), f"Wh_{d}": init(HIDDEN, 4 * HIDDEN), f"b_{d}": np.zeros(4 * HIDDEN, np.float32)}
         w[f"b_{d}"][HIDDEN : 2 * HIDDEN] = 1
     w |= {"Wo": init(2 * HIDDEN, TAGS), "bo": np.array([2.0] + [0.0] * (TAGS - 1), np.float32), "trans": np.zeros((TAGS, TAGS), np.float32), "start": np.zeros(TAGS, np.float32)}
+    if first:
+        with np.load(first) as z:
+            w = {k: z[k].astype(np.float32) for k in w}
     m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
     used = np.array(sorted(used, key=lambda i: len(xs[i])))
     batches = [used[i : i + BATCH] for i in range(0, len(used), BATCH)]
     report(f"{len(texts)} texts, {len(xs)} windows, {len(batches)} batches")
-    step, total = 0, epochs * len(batches)
-
-    def load(ids):
-        steps = max(len(xs[i]) for i in ids)
-        x, y, mask = np.zeros((steps, len(ids)), np.int64), np.zeros((steps, len(ids)), np.int64), np.zeros((steps, len(ids)), np.float32)
-        back = np.zeros((steps, len(ids)), np.int64)
-        for j, i in enumerate(ids):
-            n = len(xs[i])
-            x[:n, j], y[:n, j], mask[:n, j] = xs[i], ys[i], 1
-            back[:, j] = np.concatenate([np.arange(n)[::-1], np.arange(n, steps)])
-        return x, y, mask, back
-
+    context = multiprocessing.get_context("fork")
+    team = []
+    for _ in range(WORKERS):
+        mine, theirs = context.Pipe()
+        process = context.Process(target=worker, args=(theirs, xs, ys), daemon=True)
+        process.start()
+        team.append((mine, process))
+    step, began = 0, time.time()
+    total = epochs * (len(batches) // WORKERS)
     for epoch in range(epochs):
-        losses = []
-        for b in rng.permutation(len(batches)):
-            x, y, mask, back = load(batches[b])
-            xb = np.take_along_axis(x, back, 0)
-            ef, eb = w["E"][x], w["E"][xb]
-            sf, sb = lstm_forward(ef, w, "f"), lstm_forward(eb, w, "b")
-            hb = np.take_along_axis(sb[0][1:], back[:, :, None], 0)
-            both = np.concatenate([sf[0][1:], hb], 2)
-            em = both @ w["Wo"] + w["bo"]
-            loss, dem, dtrans, dstart = crf(em, y, mask, w["trans"], w["start"])
-            losses.append(loss)
-            g = {"trans": dtrans, "start": dstart, "Wo": both.reshape(-1, 2 * HIDDEN).T @ dem.reshape(-1, TAGS), "bo": dem.sum((0, 1))}
-            dboth = dem @ w["Wo"].T
-            de_f = lstm_backward(dboth[:, :, :HIDDEN], ef, sf, w, "f", g)
-            de_b = lstm_backward(np.take_along_axis(dboth[:, :, HIDDEN:], back[:, :, None], 0), eb, sb, w, "b", g)
-            ge = np.zeros_like(w["E"])
-            flat = np.concatenate([x.ravel(), xb.ravel()])
-            values = np.concatenate([de_f.reshape(-1, EMBED), de_b.reshape(-1, EMBED)])
-            by = np.argsort(flat, kind="stable")
-            ids, first = np.unique(flat[by], return_index=True)
-            ge[ids] = np.add.reduceat(values[by], first, axis=0)
-            g["E"] = ge
+        losses, turn = [], rng.permutation(len(batches))
+        for at in range(0, len(batches) - WORKERS + 1, WORKERS):
+            for (pipe, _), b in zip(team, turn[at : at + WORKERS]):
+                pipe.send((w, batches[b]))
+            answers = [pipe.recv() for pipe, _ in team]
+            losses += [x for x, _ in answers]
+            g = {k: sum(a[k] for _, a in answers) / WORKERS for k in w}
             step += 1
+            done = max(step / total, (time.time() - began) / seconds)
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             scale = min(1.0, 5.0 / (norm + 1e-9))
-            rate = RATE * min(1, step / 40) * 0.5 * (1 + np.cos(np.pi * step / total))
+            rate = RATE * min(1, step / 60) * 0.5 * (1 + np.cos(np.pi * min(done, 1)))
             for k, x in g.items():
                 x = x * scale
                 m[k] += 0.1 * (x - m[k])
                 v[k] += 0.003 * (x * x - v[k])
-                w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.997**step)) + 1e-8)).astype(np.float32)
-        report(f"epoch {epoch}: loss {np.mean(losses):.4f}")
-    np.savez_compressed(out, words=" ".join(symbols), common=" ".join(sorted(common)), **{k: x.astype(np.float16) if k != "trans" else x for k, x in w.items()})
+                w[k] = w[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.997**step)) + 1e-8)).astype(np.float32)
+            if done >= 1:
+                break
+        report(f"epoch {epoch}: loss {np.mean(losses):.4f}, {time.time() - began:.0f} s")
+        if done >= 1:
+            break
+    for pipe, process in team:
+        pipe.send(None)
+        process.join()
+    np.savez_compressed(out, **{k: x.astype(np.float16) if k != "trans" else x for k, x in w.items()})
     tagger = pii.Tagger(out)
     right = Counter()
     for i, e in zip(held, tagger.scores([xs[i] for i in held])):
-        tags = tagger.decode(e)
+        tags = tagger.decode([e])[0]
         for k in range(1, TAGS):
             right[k, "both"] += int(((tags == k) & (ys[i] == k)).sum())
             right[k, "found"] += int((tags == k).sum())
             right[k, "there"] += int((ys[i] == k).sum())
     for k in range(1, TAGS):
-        report(f"held out, {pii_labels.KINDS[k - 1]}: precision {right[k, 'both'] / max(1, right[k, 'found']):.4f}, recall {right[k, 'both'] / max(1, right[k, 'there']):.4f}")
+        report(f"held out, {pii.KINDS[k - 1]}: precision {right[k, 'both'] / max(1, right[k, 'found']):.4f}, recall {right[k, 'both'] / max(1, right[k, 'there']):.4f}")
 
 
-def main(folder: str, out: str = pii.WEIGHTS) -> None:
+def main(folder: str, out: str = pii.WEIGHTS, seconds: str = "1e9", first: str | None = None) -> None:
     import pyarrow.parquet as pq
 
     texts = []
     for name, column in (("candidates", "content"), ("query_responses", "answer")):
         texts += [t for t in pq.read_table(f"{folder}/{name}.parquet", columns=[column])[column].to_pylist() if t]
-    train(texts, out)
+    train(texts, out, seconds=float(seconds), first=first)
 
 
 if __name__ == "__main__":
+    for variable in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # each worker is one thread
+        if os.environ.get(variable) != "1":
+            os.environ[variable] = "1"
+            os.execv(sys.executable, [sys.executable, "-m", "lakewarden.llm.pii_train", *sys.argv[1:]])
     main(*sys.argv[1:])

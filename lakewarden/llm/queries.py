@@ -161,7 +161,8 @@ def p7_shares_of_everything(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.oversized(table(spark, d, "documents"), table(spark, d, "size_limits")).select("doc_id").distinct()
+    """Documents that had to be cut: those of which there are pieces."""
+    return p8_pieces(spark, d).select("doc_id").distinct()
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
-from lakewarden.llm import mixing, percentiles, pii, pii_labels, scans, splitting, tokens
+from lakewarden.llm import mixing, percentiles, pii, scans, splitting, tokens
 
 
 # -------------------------------------------------------------------------------------------------------------------- 3
@@ -129,27 +131,68 @@ def test_windows_do_not_change_the_decision():
         assert [(a - len(before), b - len(before), k) for a, b, k in shifted] == alone
 
 
-def test_held_out_accuracy(data):
-    """On texts the weights were not trained on: at least 97 % of the labelled records a kind, and few others."""
-    import pyarrow.parquet as pq
+def test_accuracy_on_forms_in_no_list():
+    """On composed texts whose names, streets and numbers stand in no list of the grammars, in sentences of their own."""
+    from tests.llm.pii_blind import blind, measured
 
-    texts = [t for n, c in (("candidates", "content"), ("query_responses", "answer")) for t in pq.read_table(f"{data}/{n}.parquet", columns=[c])[c].to_pylist() if t]
     t = pii.Tagger()
-    found = [pii.confirmed(x, s, t.common) for x, s in zip(texts, t.tag(texts))]
-    for kind in pii_labels.KINDS:
-        a = {i for i, s in enumerate(found) if any(k == kind for *_, k in s)}
-        b = {i for i, x in enumerate(texts) if any(k == kind for *_, k in pii_labels.label(x, t.common))}
-        assert len(a & b) >= 0.97 * len(b) and len(a - b) <= 1 + 0.03 * len(b), kind
+    texts = blind(1, 500)
+    found = [pii.bordered(x, s) for (x, _), s in zip(texts, t.tag([x for x, _ in texts]))]
+    got = measured(found, [s for _, s in texts])
+    for kind in pii.KINDS:
+        recall, precision, there = got[kind]
+        assert there > 80
+        least = 0.7 if kind == "person_name" else 0.9
+        assert recall >= least and precision >= least, (kind, recall, precision)
+
+
+def test_the_network_decides():
+    """With other weights the rows change: the same forms are found in one context and not in another."""
+    t = pii.Tagger()
+    text = "Call Mrs Lindqvist on +44 20 7946 0958. Invoice 20-4471-8820-1 was paid in Green Bay."
+    assert [k for *_, k in t.tag([text])[0]] == ["person_name", "phone"]
+    t.bias = t.bias + np.array([50.0] + [0.0] * len(pii.KINDS), np.float32)
+    assert t.tag([text]) == [[]]
 
 
-def test_training_learns_a_little(tmp_path):
+def test_batched_decoding_is_viterbi():
+    """Decoding in groups, with the runs that cannot win left out, gives the best path of each text on its own."""
+    from itertools import product
+
+    t = pii.Tagger()
+    rng = np.random.default_rng(2)
+    many = [rng.normal(0, 4, (int(rng.integers(1, 5)), 6)).astype(np.float32) + np.array([4, 0, 0, 0, 0, 0], np.float32) for _ in range(60)]
+    for e, tags in zip(many, t.decode(many)):
+        cost = lambda p: t.start[p[0]] + sum(e[i, x] for i, x in enumerate(p)) + sum(t.trans[x, y] for x, y in zip(p, p[1:]))
+        assert cost(tuple(tags)) >= max(map(cost, product(range(6), repeat=len(e)))) - 1e-3
+
+
+def test_stretches_hold_every_composed_span():
+    """What the network is not shown cannot be found: nearly every composed span lies in a stretch."""
+    from lakewarden.llm import pii_forms
+
+    forms, there, held = pii_forms.Forms(np.random.default_rng(5)), 0, 0
+    for _ in range(1500):
+        text, spans = pii_forms.composed(forms, list(pii.KINDS))
+        parts = pii.stretches(text)
+        there += len(spans)
+        held += sum(any(a <= lo and hi <= b for a, b in parts) for lo, hi, _ in spans)
+    assert held >= 0.99 * there
+    texts = ["", "a", "Mr Smith", "\n\n", "nothing here"]
+    together = pii.parts_of(texts)[1]
+    assert together == [(k, lo, hi) for k, t in enumerate(texts) for lo, hi in pii.stretches(t)]
+
+
+def test_training_learns_a_little(tmp_path, monkeypatch):
     from lakewarden.llm import pii_train
 
+    monkeypatch.setattr(pii_train, "COMPOSED", 400)
+    monkeypatch.setattr(pii_train, "WORKERS", 2)
     rng = random.Random(4)
     texts = [f"{rng.choice(BASE).capitalize()}. Call 01632 96{rng.randrange(1000, 9999)} now. {rng.choice(BASE)}." if i % 2 else f"{rng.choice(BASE)} {i}." for i in range(400)]
     said = []
-    pii_train.train(texts, str(tmp_path / "w.npz"), epochs=25, report=said.append)
-    losses = [float(x.split("loss ")[1]) for x in said if "loss" in x]
+    pii_train.train(texts, str(tmp_path / "w.npz"), epochs=6, report=said.append)
+    losses = [float(x.split("loss ")[1].split(",")[0]) for x in said if "loss" in x]
     assert losses[-1] < 0.5 * losses[0] and pii.Tagger(str(tmp_path / "w.npz")).hidden == pii_train.HIDDEN
 
 
@@ -227,3 +270,41 @@ def test_pieces_tile_fit_and_overlap(spark):
                 assert 30 <= shared + 2 and shared <= 45 and r.start < r.body_start
     assert sum(r.boundary.startswith("heading") for r in got[0][1:]) >= 1 and {r.boundary for r in got[1][1:]} == {"line"} and {r.boundary for r in got[2][1:]} == {"word"}
     assert splitting.pieces(docs.limit(0), limits).count() == 0 and splitting.oversized(docs, limits.limit(0)).count() == 0
+
+
+def pieces_of(text, limit, overlap=0):
+    import regex
+
+    return [(text[a:b], name) for a, _, b, name in splitting.split_text(text, limit, overlap, tokens.encoder().encode_ordinary, regex.compile(tokens.PATTERN))]
+
+
+def test_no_piece_reaches_from_within_one_section_into_the_next():
+    paragraph = lambda s, k: f"Paragraph {s}.{k} " + " ".join(f"says that item {j} is kept." for j in range(8))
+    text = "\n\n".join(f"# Section {s}\n\n" + "\n\n".join(paragraph(s, k) for k in range(n)) for s, n in ((1, 3), (2, 1), (3, 3), (4, 1), (5, 1)))
+    got = pieces_of(text, 160)
+    assert "".join(t for t, _ in got) == text
+    whole = {s: text[text.index(f"# Section {s}") : text.index(f"# Section {s + 1}") if s < 5 else len(text)] for s in range(1, 6)}
+    for t, _ in got:
+        inside = [s for s in whole if f"Paragraph {s}." in t]
+        assert len(inside) == 1 or all(whole[s] in t for s in inside), t
+        assert all(t.count(f"# Section {s}") == 0 or f"Paragraph {s}.0" in t for s in whole)  # a heading stays with its text
+    assert any("# Section 4" in t and "# Section 5" in t for t, _ in got)
+
+
+def test_lists_markup_and_fences():
+    items = "".join(f"- item {i} of the list\n" + "".join(f"  - detail {i}.{j} with a few more words\n" for j in range(3)) for i in range(6))
+    got = pieces_of(items, 90)
+    assert "".join(t for t, _ in got) == items and all(t.startswith("- item") for t, _ in got) and {n for _, n in got[1:]} == {"item 0"}
+    fence = "```\n# no heading\nx = 1\n\n# none either\n```"
+    assert [n for n, _ in splitting.levels_of("# One\n\nText.\n\n" + fence)] == ["heading 1", "block", "line", "sentence"]
+    assert len(dict(splitting.levels_of("# One\n\nText.\n\n" + fence))["heading 1"]) == 1
+    html = "<div>" + "".join(f"<section><h2>Part {i}</h2><p>{'some words here ' * 9}</p><p>{'other words there ' * 9}</p></section>" for i in range(4)) + "</div>"
+    got = pieces_of(html, 120)
+    assert "".join(t for t, _ in got) == html and all(t.startswith("<h2>Part") or "<section>" in t[:20] for t, _ in got)
+
+
+def test_the_first_piece_uses_the_whole_limit():
+    text = "Some plain words stand here. " * 60
+    a, b = pieces_of(text, 160, 60)[:2]
+    encode = tokens.encoder().encode_ordinary
+    assert len(encode(a[0])) > 140 and len(encode(b[0])) <= 100
