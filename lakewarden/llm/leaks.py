@@ -1,13 +1,12 @@
 """Evaluation passages inside a large corpus.
 
-Passages and documents are read as word sequences. Every item-sized window of ``run`` words is walked by a CGK embedding: position i of the
+Passages and documents are read as word sequences. Every window of ``run`` words (of all words, for a shorter item) is walked by a CGK embedding: position i of the
 window is repeated or left according to random bits of the word itself, which maps edit distance to Hamming distance. Repeated bit sampling
 of the embedding gives the LSH keys; windows that agree in one key are joined and verified by exact banded edit distance.
 
-Two lossless filters keep the corpus side small: a window with more than ``max_edits`` words that occur in no item cannot be within
-``max_edits`` of an item window; a key that no item has cannot join. Both use collected sets only below a checked size; beyond it the
-filter is left out. Item windows themselves are held by every task below a checked size, so that nothing but verified pairs is shuffled; beyond it
-windows and item windows meet in a shuffled join.
+Two lossless filters of a fixed size keep the corpus side small: a window with more than ``max_edits`` words that occur in no item cannot be within
+``max_edits`` of an item window; a key that no item has cannot join. Windows meet in one shuffled join whatever the number of items: keys travel without
+words, each pair of windows that met is kept once, and equal item windows take part once.
 """
 
 from __future__ import annotations
@@ -20,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.functions.text import words
+from lakewarden.llm.bitmaps import among, bitmap
 from lakewarden.llm.wordcodes import Codes
 from lakewarden.runtime import cut, spread
 
-#: Most item words and item keys that are collected as filters (8 bytes each).
-FILTER_LIMIT = 2_000_000
-#: Most item windows and tables (about 130 bytes each) that are handed to every task to be met there; beyond it the join is shuffled.
-HELD_LIMIT = 400_000
+#: Bits of the filters of item words and item keys (2 and 16 MB, whatever the tables hold).
+WORD_BITS, KEY_BITS = 24, 27
 #: Independent walks, sampling tables a walk, and sampled positions a table.
 WALKS, TABLES, SAMPLE = 4, 3, 5
 #: Windows embedded at once.
@@ -91,135 +89,102 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return previous[:, run]
 
 
-class Items:
-    """Item windows held by every task: keys in order, the window each belongs to, and the windows."""
+def windows_of(df: DataFrame, shapes: list[tuple[int, int, list]], known: np.ndarray | None = None, keys: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+    """(id, pos, keys, words) of every window of the shapes (words, edits, plan) that passes the filters; df is (id, text).
 
-    def __init__(self, rows: pd.DataFrame, run: int):
-        windows = rows[["id", "pos", "words"]].drop_duplicates(["id", "pos"]).reset_index(drop=True)
-        place = {x: i for i, x in enumerate(zip(windows["id"], windows["pos"]))}
-        owner = np.array([place[x] for x in zip(rows["id"], rows["pos"])], np.int64)
-        order = np.argsort(rows["key"].to_numpy(np.int64), kind="stable")
-        self.keys, self.owner = rows["key"].to_numpy(np.int64)[order], owner[order]
-        self.id, self.pos = windows["id"].to_numpy(np.int64), windows["pos"].to_numpy(np.int64)
-        self.words = np.frombuffer(b"".join(windows["words"]), np.int64).reshape(len(windows), run)
-
-    def met(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, window) pairs that share a key, each once; keys is (n, tables)."""
-        lo, hi = np.searchsorted(self.keys, keys.ravel(), "left"), np.searchsorted(self.keys, keys.ravel(), "right")
-        at = np.nonzero(hi > lo)[0]
-        many = hi[at] - lo[at]
-        row = np.repeat(at // keys.shape[1], many)
-        place = np.repeat(lo[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pair = np.unique(row * np.int64(len(self.id) or 1) + self.owner[place])
-        return pair // (len(self.id) or 1), pair % (len(self.id) or 1)
-
-
-def windows_of(df: DataFrame, run: int, plan: list, known: np.ndarray | None = None, keys: np.ndarray | None = None, max_edits: int = 0, items: Items | None = None) -> DataFrame:
-    """(id, pos, key, words) of every window that passes the filters; df is (id, text).
-
-    With ``items`` windows meet them within the task, and the result is (id, pos, item, item_pos, edits) of verified pairs.
+    Keys are those that pass their filter, and a window without any is left out. With ``whole`` (items) a text has windows of the largest shape it fills.
     """
     sc = df.sparkSession.sparkContext
-    known_b, keys_b, items_b = sc.broadcast(known), sc.broadcast(keys), sc.broadcast(items)
+    known_b, keys_b = sc.broadcast(known), sc.broadcast(keys)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, keys, items, codes = known_b.value, keys_b.value, items_b.value, Codes()
+        known, keys, codes = known_b.value, keys_b.value, Codes()
 
-        def flush(ids: list, at: list, views: list) -> pd.DataFrame:
+        def flush(shape: int, ids: list, at: list, views: list) -> pd.DataFrame:
+            run, _, plan = shapes[shape]
             w = np.concatenate(views)
-            k = keys_of(w, plan)
-            if items is not None:
-                row, own = items.met(k)
-                edits = edit_distance(w[row], items.words[own], max_edits)
-                good = edits <= max_edits
-                row, own = row[good], own[good]
-                return pd.DataFrame({"id": np.concatenate(ids)[row], "pos": np.concatenate(at)[row], "item": items.id[own], "item_pos": items.pos[own], "edits": edits[good].astype("int32")})
-            if keys is not None:
-                found = np.searchsorted(keys, k.ravel())
-                found[found == len(keys)] = 0
-                hit = (keys[found] == k.ravel()).reshape(k.shape) if len(keys) else np.zeros(k.shape, bool)
-            else:
-                hit = np.ones(k.shape, bool)
-            row, table = np.nonzero(hit)
-            i = np.concatenate(ids)
-            return pd.DataFrame({"id": i[row], "pos": np.concatenate(at)[row], "key": k[row, table], "words": [x.tobytes() for x in w[row]]})
-
+            k = keys_of(w, plan) + np.int64(run)
+            i, pos = np.concatenate(ids), np.concatenate(at)
+            hit = np.ones(k.shape, bool) if keys is None else among(keys, k)
+            kept = np.nonzero(hit.any(axis=1))[0]
+            return pd.DataFrame({"id": i[kept], "pos": pos[kept], "keys": pd.Series([x[h].tolist() for x, h in zip(k[kept], hit[kept])], dtype=object), "words": pd.Series([x.tobytes() for x in w[kept]], dtype=object)})
+
+        held: dict[int, tuple[list, list, list]] = {}
+        size = dict.fromkeys(range(len(shapes)), 0)
         for batch in batches:
-            ids: list = []
-            at: list = []
-            views: list = []
-            held = 0
             for i, text in zip(batch["id"], batch["text"]):
                 w = words(text)
-                if len(w) < run:
+                if not w:
                     continue
                 c = np.fromiter(map(codes.__getitem__, w), np.int64, len(w))
-                for lo in range(0, len(c) - run + 1, BLOCK):
-                    part = c[lo : lo + BLOCK + run - 1]
-                    view = np.lib.stride_tricks.sliding_window_view(part, run)
-                    where = np.arange(len(view))
-                    if known is not None:
-                        place = np.searchsorted(known, part)
-                        place[place == len(known)] = 0
-                        strange = np.concatenate([[0], np.cumsum(known[place] != part if len(known) else np.ones(len(part), bool))])
-                        where = np.nonzero(strange[run:] - strange[:-run] <= max_edits)[0]
-                    if len(where):
-                        ids.append(np.full(len(where), i))
-                        at.append(where + lo)
-                        views.append(view[where])
-                        held += len(where)
-                    if held >= BLOCK:
-                        yield flush(ids, at, views)
-                        ids, at, views, held = [], [], [], 0
-            if held:
-                yield flush(ids, at, views)
-
-    return df.mapInPandas(emit, "id long, pos long, item long, item_pos long, edits int" if items is not None else "id long, pos long, key long, words binary")
-
-
-def bounded_set(df: DataFrame, column: str, most: int) -> np.ndarray | None:
-    """The sorted distinct values, or None beyond ``most``."""
-    distinct = df.select(column).distinct()
-    if distinct.limit(most + 1).count() > most:
-        return None
-    return np.sort(distinct.toPandas()[column].to_numpy(np.int64))
+                fitting = [x for x in range(len(shapes)) if shapes[x][0] <= len(c)]
+                for shape in fitting[-1:] if whole else fitting:
+                    run, edits, _ = shapes[shape]
+                    for lo in range(0, len(c) - run + 1, BLOCK):
+                        part = c[lo : lo + BLOCK + run - 1]
+                        view = np.lib.stride_tricks.sliding_window_view(part, run)
+                        where = np.arange(len(view))
+                        if known is not None:
+                            strange = np.concatenate([[0], np.cumsum(~among(known, part))])
+                            where = np.nonzero(strange[run:] - strange[:-run] <= edits)[0]
+                        if len(where):
+                            ids, at, views = held.setdefault(shape, ([], [], []))
+                            ids.append(np.full(len(where), i))
+                            at.append(where + lo)
+                            views.append(view[where])
+                            size[shape] += len(where)
+                        if size[shape] >= BLOCK:
+                            yield flush(shape, *held.pop(shape))
+                            size[shape] = 0
+        for shape in list(held):
+            yield flush(shape, *held.pop(shape))
+
+    return df.mapInPandas(emit, "id long, pos long, keys array<long>, words binary")
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, run: int = 13, max_edits: int = 2, walks: int = WALKS, tables: int = TABLES, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
     """(item_id, doc_id, doc_pos, item_pos, edits): windows of ``run`` words of a document within ``max_edits`` word edits of one of an item.
 
-    Windows that agree exactly always meet (equal windows have equal embeddings); with edits the chance grows with ``walks`` and ``tables`` and falls
-    with ``sample`` (a test measures it at the defaults). Rows with a null id are left out; null, empty and texts shorter than ``run`` words have no window. Repeated rows give one result row;
-    whole texts of any length are read. Ids are longs; other columns are ignored, whatever their names.
+    An item of fewer words is one window of all of them, with edits in proportion. Windows that agree exactly always meet (equal windows have equal embeddings);
+    with edits the chance grows with ``walks`` and ``tables`` and falls with ``sample`` (a test measures it at the defaults). Rows with a null id are left out;
+    null and empty texts have no window. Repeated rows give one result row; whole texts of any length are read. Ids are longs; other columns are
+    ignored, whatever their names.
     """
     item_rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
-    plan = embedding_plan(run, walks, tables, sample, seed)
-    item_windows = cut(windows_of(item_rows, run, plan))
+    shapes = [(n, n * max_edits // run, embedding_plan(n, walks, tables, min(sample, 2 * n), seed)) for n in range(1, run + 1)]
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"n": sorted({min(len(words(t)), run) for t in b["text"]})})
+
+    used = {r.n for r in item_rows.mapInPandas(lengths, "n int").distinct().collect()}  # at most ``run`` of them
+    shapes = [s for s in shapes if s[0] in used]
+    item_windows = cut(windows_of(item_rows, shapes, whole=True).withColumn("window", F.xxhash64("words")))
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"code": np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(w, np.int64) for w in b["words"])]))})
 
-    known = bounded_set(item_windows.select("words").mapInPandas(codes, "code long"), "code", FILTER_LIMIT)
-    held = item_windows.limit(HELD_LIMIT + 1).toPandas() if item_windows.limit(HELD_LIMIT + 1).count() <= HELD_LIMIT else None
-    keys = None if held is not None else bounded_set(item_windows, "key", FILTER_LIMIT)
+    one = item_windows.groupBy("window", "words").agg(F.first("keys").alias("keys"))
+    known = bitmap(one.select("words").mapInPandas(codes, "code long"), "code", WORD_BITS)
+    item_keys = one.select(F.explode("keys").alias("key"), "window")
+    keys = bitmap(item_keys, "key", KEY_BITS)
     doc_rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null"))
-    if held is not None:
-        found = windows_of(doc_rows, run, plan, known, None, max_edits, Items(held, run))
-        found = found.select(F.col("item").alias(item_id), F.col("id").alias(doc_id), F.col("pos").alias("doc_pos"), "item_pos", "edits")
-        return found.groupBy(item_id, doc_id, "doc_pos", "item_pos").agg(F.min("edits").alias("edits"))
-    doc_windows = windows_of(doc_rows, run, plan, known, keys, max_edits)
-    pairs = (
-        doc_windows.select(F.col("id").alias("d"), F.col("pos").alias("dp"), "key", F.col("words").alias("dw"))
-        .join(item_windows.select(F.col("id").alias("i"), F.col("pos").alias("ip"), "key", F.col("words").alias("iw")), "key")
-    )
+    doc_windows = cut(windows_of(doc_rows, shapes, known, keys).select(F.col("id").alias("d"), F.col("pos").alias("dp"), "keys", F.col("words").alias("dw")))
+    # a hot key (a passage in a third of the corpus) has many windows on this side and one a distinct item window on the other: a skewed
+    # partition is split by the adaptive join
+    met = doc_windows.select("d", "dp", F.octet_length("dw").alias("size"), F.explode("keys").alias("key")).join(item_keys, "key").select("d", "dp", "size", "window").distinct()
+    pairs = met.join(doc_windows.select("d", "dp", F.octet_length("dw").alias("size"), "dw"), ["d", "dp", "size"]).join(one.select("window", F.col("words").alias("iw")), "window").where("octet_length(iw) = octet_length(dw)")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        allowed = {n: e for n, e, _ in shapes}
         for b in batches:
-            n = len(b)
-            read = lambda c: np.frombuffer(b"".join(b[c]), np.int64).reshape(n, run)
-            edits = edit_distance(read("dw"), read("iw"), max_edits) if n else np.zeros(0, np.int16)
-            good = edits <= max_edits
-            yield pd.DataFrame({item_id: b["i"][good], doc_id: b["d"][good], "doc_pos": b["dp"][good], "item_pos": b["ip"][good], "edits": edits[good].astype("int32")}).drop_duplicates()
-
-    return pairs.mapInPandas(verify, f"{item_id} long, {doc_id} long, doc_pos long, item_pos long, edits int").groupBy(item_id, doc_id, "doc_pos", "item_pos").agg(F.min("edits").alias("edits"))
+            for n, part in b.groupby(b["iw"].str.len() // 8):
+                read = lambda c: np.frombuffer(b"".join(part[c]), np.int64).reshape(len(part), n)  # noqa: E731, B023
+                edits = edit_distance(read("dw"), read("iw"), allowed[n])
+                good = edits <= allowed[n]
+                yield pd.DataFrame({"d": part["d"][good], "dp": part["dp"][good], "iw": part["iw"][good], "edits": edits[good].astype("int32")})
+
+    found = pairs.select("d", "dp", "dw", "iw").mapInPandas(verify, "d long, dp long, iw binary, edits int")
+    where = item_windows.select(F.col("id").alias(item_id), F.col("pos").alias("item_pos"), F.col("words").alias("iw")).distinct()
+    return found.join(where, "iw").select(item_id, F.col("d").alias(doc_id), F.col("dp").alias("doc_pos"), "item_pos", "edits").groupBy(item_id, doc_id, "doc_pos", "item_pos").agg(F.min("edits").alias("edits"))

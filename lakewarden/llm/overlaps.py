@@ -5,7 +5,8 @@ within both kinds. In that order the edit distance (insertions and deletions) of
 a similarity of s bounds it by ``k = n (1 - s) / s`` for a held-out question of n words, whatever was reordered. The held-out sequence is cut into
 k + 1 segments (single rare words, the common words in equal runs): k edits leave one of them whole. Training sequences offer their substrings of
 the lengths used; equal segments at positions at most k apart meet, an exact parity sketch discards most of them, and banded dynamic programming decides.
-Training substrings that equal no held-out segment stay at home, as long as the held-out keys are few enough to be handed to every task.
+A training sequence of n words offers only lengths that held-out sequences of similar size use, at positions they allow; substrings that pass no
+filter of held-out keys, which has a fixed size, stay at home.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.leaks import FILTER_LIMIT, bounded_set
+from lakewarden.llm.bitmaps import among, bitmap
 from lakewarden.llm.wordcodes import Codes, codes_of, frequent
 from lakewarden.runtime import cut, spread
 
+#: Bits of the filter of held-out keys (8 MB, whatever the tables hold).
+KEY_BITS = 26
 #: Words in more than this share of the training questions are common; their number is bounded by mean words / FRACTION.
 FRACTION = 0.0005
 
@@ -72,8 +75,21 @@ def sequences(records: DataFrame, common: dict[int, float]) -> DataFrame:
     return records.mapInPandas(run, "id string, same binary, words binary, rare int, n int, sketch0 long, sketch1 long")
 
 
-def key_of(words: np.ndarray, start: int, length: int) -> int:
-    return xxhash.xxh3_64_intdigest(words[start : start + length].tobytes(), seed=length) - (1 << 63)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def rolling(words: np.ndarray, length: int) -> np.ndarray:
+    """Keys of all substrings of ``length`` words of a sequence of codes, by one rolling polynomial hash."""
+    with np.errstate(over="ignore"):
+        w = words.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        w ^= w >> np.uint64(29)
+        key = np.zeros(len(w) - length + 1, np.uint64)
+        for j in range(length):
+            key = key * _BASE + w[j : j + len(key)]
+        key += np.uint64(length)
+        key ^= key >> np.uint64(32)
+        key *= np.uint64(0x94D049BB133111EB)
+        return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
 def indel_distance(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
@@ -125,24 +141,44 @@ def overlaps(heldout: DataFrame, training: DataFrame, heldout_id: str, training_
             for same, raw, rare, n, s0, s1 in zip(b["same"], b["words"], b["rare"], b["n"], b["sketch0"], b["sketch1"]):
                 w = np.frombuffer(raw, np.int64)
                 k = most_edits(n, similarity)
-                rows += [(same, n, s0, s1, k, start, length, key_of(w, start, length)) for start, length in segments(w, rare, k)]
+                rows += [(same, n, s0, s1, k, start, length, int(rolling(w[start : start + length], length)[0])) for start, length in segments(w, rare, k)]
             yield pd.DataFrame(rows, columns=[*kept, "k", "start", "length", "key"])
 
     held_cuts = cut(one(held).mapInPandas(cuts, "same binary, n int, sketch0 long, sketch1 long, k int, start int, length int, key long"))
-    # segment lengths are small integers: at most the words of a question, and few in practice
-    lengths = sorted(r[0] for r in held_cuts.select("length").distinct().collect())
-
-    wanted_b = train.sparkSession.sparkContext.broadcast(bounded_set(held_cuts, "key", FILTER_LIMIT))
+    # one row a size of held-out questions and length of their segments: how far into a sequence they reach; sizes are small integers
+    sizes = held_cuts.groupBy("n", "length").agg(F.min("start").alias("lo"), F.max("start").alias("hi"), F.max("k").alias("k")).collect()
+    uses = sorted((r.length, r.n, r.lo - r.k, r.hi + r.k) for r in sizes)
+    sc = train.sparkSession.sparkContext
+    wanted_b, uses_b = sc.broadcast(bitmap(held_cuts, "key", KEY_BITS)), sc.broadcast(uses)
 
     def substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = None if wanted_b.value is None else set(wanted_b.value.tolist())
+        wanted, uses, memo = wanted_b.value, uses_b.value, {}
         for b in batches:
-            rows = []
-            for same, raw, n, s0, s1 in zip(b["same"], b["words"], b["n"], b["sketch0"], b["sketch1"]):
-                w = np.frombuffer(raw, np.int64)
-                parts = ((start, key_of(w, start, length)) for length in lengths for start in range(n - length + 1))
-                rows += [(same, n, s0, s1, start, key) for start, key in parts if wanted is None or key in wanted]
-            yield pd.DataFrame(rows, columns=[*kept, "start", "key"])
+            size = b["n"].to_numpy(np.int64)
+            words = np.frombuffer(b"".join(b["words"]), np.int64)
+            first = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(words)) - first[row]
+            out_row, out_start, out_key = [], [], []
+            for length in sorted({u[0] for u in uses}):
+                if length > len(words):
+                    continue
+                lo, hi = np.full(len(size), 1 << 30), np.full(len(size), -1)
+                for n in np.unique(size).tolist():
+                    if (length, n) not in memo:
+                        fit = [u for u in uses if u[0] == length and n >= similarity * u[1] - 1e-9 and u[1] >= similarity * n - 1e-9]
+                        memo[length, n] = (max(0, min(u[2] for u in fit)), min(n - length, max(u[3] for u in fit))) if fit else (0, -1)
+                    lo[size == n], hi[size == n] = memo[length, n]
+                at = np.nonzero((place >= lo[row]) & (place <= hi[row]))[0]
+                if len(at):
+                    key = rolling(words, length)[np.minimum(at, len(words) - length)]
+                    hit = among(wanted, key)
+                    out_row.append(row[at[hit]])
+                    out_start.append(place[at[hit]])
+                    out_key.append(key[hit])
+            if out_row:
+                picked = b.iloc[np.concatenate(out_row)]
+                yield pd.DataFrame({c: picked[c].to_numpy() for c in kept} | {"start": np.concatenate(out_start).astype(np.int32), "key": np.concatenate(out_key)})
 
     train_parts = one(train).mapInPandas(substrings, "same binary, n int, sketch0 long, sketch1 long, start int, key long")
     met = (

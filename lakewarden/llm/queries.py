@@ -139,7 +139,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Which items leaked: documents with an equal or a nearly equal window, and the words of the item covered at most."""
+    """Which items leaked: documents with an equal or a nearly equal window, and the most windows of the item that one document holds."""
     per = _item_windows(spark, d).groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"), F.countDistinct("item_pos").alias("windows"))
     return per.groupBy("item_id").agg(F.count_if(F.col("edits") == 0).alias("exact_documents"), F.count_if(F.col("edits") > 0).alias("near_documents"), F.max("windows").alias("most_windows"))
 

@@ -32,12 +32,19 @@ LINE = re.compile(r"\n")
 SENTENCE = re.compile(r"[.!?。！？…][\"'”’)\]]*\s+")
 
 
-def atoms(text: str, encode, most: int, pattern, sizes: dict[str, int]) -> tuple[list[int], list[int]]:
-    """Offsets and cumulative token counts of the pre-tokens; a pre-token above ``most`` tokens is cut between characters."""
+def atoms(text: str, encode, most: int, pattern, sizes: dict[str, int], tags: list[int]) -> tuple[list[int], list[int]]:
+    """Offsets and cumulative token counts of the pre-tokens; one that holds the beginning of a tag is cut there, one above ``most`` tokens between characters."""
     starts: list[int] = []
     counts: list[int] = []
     for m in pattern.finditer(text):
         piece = m.group()
+        if tags and "<" in piece[1:]:
+            k = bisect_right(tags, m.start())
+            if k < len(tags) and tags[k] < m.end():
+                edges = [m.start(), *tags[k : bisect_left(tags, m.end())], m.end()]
+                starts += edges[:-1]
+                counts += [len(encode(text[a:b])) for a, b in zip(edges, edges[1:])]
+                continue
         n = sizes.get(piece)
         if n is None:
             n = len(encode(piece))
@@ -110,10 +117,12 @@ def split_text(text: str, limit: int, overlap: int, encode, pattern, sizes: dict
     overlap = max(0, min(overlap, limit // 2))
     slack = 2 if limit - overlap > 8 else 0  # a cut can change the tokens at its two edges
     rest = max(1, limit - overlap - slack)
-    starts, total = atoms(text, encode, rest, pattern, {} if sizes is None else sizes)
+    tree = levels_of(text)
+    tags = sorted({at for name, places in tree if name.startswith(("heading", "element")) for at in places if text[at : at + 1] == "<"})
+    starts, total = atoms(text, encode, rest, pattern, {} if sizes is None else sizes, tags)
     last = len(starts) - 1
     # atom indexes of the boundaries, level by level; a boundary inside an atom (newlines and blanks are one) counts from the next one
-    levels = [(name, sorted({bisect_left(starts, p) for p in places})) for name, places in levels_of(text)]
+    levels = [(name, sorted({bisect_left(starts, p) for p in places})) for name, places in tree]
     levels.append(("word", [i for i in range(last) if i and text[starts[i]].isspace()]))
 
     def fits(lo: int, hi: int) -> bool:

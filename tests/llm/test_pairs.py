@@ -213,9 +213,10 @@ def test_banded_distance():
     assert got.tolist() == [min(edit(x, y), 4) for x, y in zip(a.tolist(), b.tolist())]
 
 
-@pytest.mark.parametrize("held", [400_000, 1])
-def test_leaks_exact_and_edited(spark, monkeypatch, held):
-    monkeypatch.setattr(leaks, "HELD_LIMIT", held)
+@pytest.mark.parametrize("bits", [(24, 27), (12, 12)])
+def test_leaks_exact_and_edited(spark, monkeypatch, bits):
+    monkeypatch.setattr(leaks, "WORD_BITS", bits[0])  # a filter too small to hold anything back changes no row
+    monkeypatch.setattr(leaks, "KEY_BITS", bits[1])
     rng = random.Random(7)
     items = [(i, " ".join(name(rng) for _ in range(30))) for i in range(40)]
     docs, exact, near = [], set(), set()
@@ -273,13 +274,43 @@ def test_walks_reach_their_recall(edits, least, kind):
 def test_leaks_without_filters_and_edges(spark, monkeypatch):
     p = " ".join(f"word{i}" for i in range(20))
     items = spark.createDataFrame([(1, p, 0), (1, p, 0), (2, None, 0), (3, "too short", 0), (None, p, 0)], "item long, passage string, pos int")
-    docs = spark.createDataFrame([(1, "before " + p.replace(" ", "­ ") + " after", 5), (2, None, 5), (3, "", 5), (4, "x " * 300_000 + p, 5), (5, " ".join(p.split()[:12]), 5), (None, p, 5)], "doc long, text string, edits int")
-    want = {(1, 1), (1, 4)}
+    docs = spark.createDataFrame([(1, "before " + p.replace(" ", "­ ") + " after", 5), (2, None, 5), (3, "", 5), (4, "x " * 300_000 + p, 5), (5, " ".join(p.split()[:12]), 5), (6, "it is far too short for that", 5), (None, p, 5)], "doc long, text string, edits int")
+    want = {(1, 1), (1, 4), (3, 6)}
     run = lambda: {(r["item"], r.doc) for r in leaks.contained(docs, items, "doc", "text", "item", "passage").where("edits = 0").collect()}
     assert run() == want
-    monkeypatch.setattr(leaks, "HELD_LIMIT", 1)  # beyond the limits windows meet in a shuffled join, then without filters
-    assert run() == want
-    monkeypatch.setattr(leaks, "FILTER_LIMIT", 1)
-    assert run() == want
     assert leaks.contained(docs.limit(0), items, "doc", "text", "item", "passage").count() == 0
     assert leaks.contained(docs.where("doc <> 4"), items.limit(0), "doc", "text", "item", "passage").count() == 0
+
+
+def test_leaks_of_short_items_and_real_texts(spark, data):
+    """Passages planted with one or two word edits in every thirteen into the texts of the tables: nine of ten documents are found."""
+    rng = random.Random(12)
+    items = [(r.item_id, r.passage) for r in spark.read.parquet(f"{data}/heldout_passages.parquet").collect() if r.passage][:60]
+    docs = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").where("length(text) between 200 and 3000").collect()][:240]
+    rows, planted = [], set()
+    for d, text in enumerate(docs):
+        i, passage = items[d % len(items)]
+        w = words(passage)
+        at = rng.randrange(0, len(w) - 26)
+        part = w[at : at + 26]
+        for half in (0, 13):
+            part[half + rng.randrange(0, 13)] = f"edit{rng.randrange(10**6)}"
+        if d % 2:
+            planted.add((i, d))
+            text = text[:100] + " " + " ".join(part) + " " + text[100:]
+        rows.append((d, text))
+    found = leaks.contained(spark.createDataFrame(rows, "doc long, text string"), spark.createDataFrame(items, "item long, passage string"), "doc", "text", "item", "passage")
+    assert len({(r["item"], r.doc) for r in found.collect()} & planted) >= 0.9 * len(planted)
+    short = spark.createDataFrame([(1, "Four plain words here"), (2, "two words")], "item long, passage string")
+    held = spark.createDataFrame([(1, "there are four plain words here, and more"), (2, "four plain words there"), (3, "Two words")], "doc long, text string")
+    assert {(r["item"], r.doc, r.edits) for r in leaks.contained(held, short, "doc", "text", "item", "passage").collect()} == {(1, 1, 0), (2, 3, 0)}
+
+
+def test_bitmap_holds_back_nothing_that_is_there(spark):
+    from lakewarden.llm.bitmaps import among, bitmap
+
+    rng = np.random.default_rng(3)
+    there, others = rng.integers(-(2**63), 2**63 - 1, 3000), rng.integers(-(2**63), 2**63 - 1, 20000)
+    b = bitmap(spark.createDataFrame([(int(x),) for x in there] + [(None,)], "key long"), "key", 20)
+    assert len(b) == 2**14 and among(b, there).all() and among(b, others).mean() < 0.01
+    assert not among(bitmap(spark.createDataFrame([], "key long"), "key", 12), others).any()
