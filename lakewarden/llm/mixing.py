@@ -26,7 +26,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, folder:
         .groupBy("id")
         .agg(F.max(F.struct("tokens", "source")).alias("d"))
         .select("id", "d.source", "d.tokens", F.xxhash64(F.lit(seed), "id").alias("key"))
-        .withColumn("range", F.pmod(F.shiftrightunsigned("key", 40), F.lit(ranges)).cast("int"))
+        .withColumn("range", F.shiftright(F.shiftrightunsigned("key", 40) * F.lit(ranges), 24).cast("int"))  # in the order of the keys, read as unsigned
     )
 
 
@@ -60,7 +60,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
         .withColumn("before", F.sum("t").over(Window.partitionBy("source").orderBy("range")) - F.col("t"))
         .select("source", "range", "epochs", "rest", "before", F.expr("before + t <= rest").alias("whole"), F.expr("before < rest and before + t > rest").alias("split"))
     )
-    rows = base.join(F.broadcast(offsets), ["source", "range"])  # at most RANGES rows a target source
+    rows = base.join(offsets, ["source", "range"])  # broadcast only where its measured size allows
     decided = rows.where(~F.col("split")).withColumn("extra", F.col("whole").cast("int"))
     # one range a source is split: the running sum sees 1/RANGES of a source at most
     inside = rows.where("split").withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "id"))).withColumn("extra", F.expr("int(upto - tokens / 2 <= rest)")).drop("upto")

@@ -12,6 +12,7 @@ Records with equal multisets are one representative, so a group of copies of any
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -72,7 +73,7 @@ def parities(element: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
 
 
 def multisets(records: DataFrame) -> DataFrame:
-    """(id, elements): the sorted 32-bit hashes of a record's (word, occurrence) elements."""
+    """(id, elements): the sorted hashes, ELEMENT_BYTES each, of a record's (word, occurrence) elements."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Codes()
@@ -82,12 +83,35 @@ def multisets(records: DataFrame) -> DataFrame:
                 c = codes_of(text, memo) if text else np.zeros(0, np.int64)
                 if len(c):
                     element = elements(c, np.zeros(len(c), np.int8))[0]
-                    rows.append((i, np.sort((element >> np.uint64(32)).astype(np.uint32)).tobytes()))
+                    rows.append((i, packed(element)))
             yield pd.DataFrame(rows, columns=["id", "elements"])
 
     return records.mapInPandas(run, "id long, elements binary")
 
 
+#: 48 bits: two different elements of texts of a hundred thousand words collide with a chance below one in ten thousand a pair of texts.
+ELEMENT_BYTES = 6
+
+
+def packed(element: np.ndarray) -> bytes:
+    """Sorted elements as their high ELEMENT_BYTES bytes."""
+    return np.sort(element >> np.uint64(64 - 8 * ELEMENT_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT_BYTES].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // ELEMENT_BYTES, 8), np.uint8)
+    out[:, :ELEMENT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, ELEMENT_BYTES)
+    return out.view("<u8").ravel()
+
+
+def shared_elements(p: np.ndarray, q: np.ndarray) -> int:
+    """How many elements two sorted arrays share, each as often as both have it."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    same = both[1:] == both[:-1]
+    return int(same.sum()) if len(same) < 2 or not (same[1:] & same[:-1]).any() else sum((Counter(p.tolist()) & Counter(q.tolist())).values())
+
+
 LANES = SKETCH // 64
 SKETCHED = ["n", *[f"s{i}" for i in range(LANES)]]
 
@@ -180,8 +204,8 @@ def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: floa
             for x, y, ea, eb in zip(b["a"], b["b"], b["ea"], b["eb"]):
                 if similarity * max(len(ea), len(eb)) > min(len(ea), len(eb)):
                     continue  # too different in length to be similar
-                p, q = np.frombuffer(ea, np.uint32), np.frombuffer(eb, np.uint32)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
+                p, q = unpacked(ea), unpacked(eb)
+                shared = shared_elements(p, q)
                 s = shared / (len(p) + len(q) - shared)
                 if s >= similarity:
                     out.append((x, y, s))

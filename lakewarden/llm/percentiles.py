@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewarden.runtime import cut
+
 #: Buckets in one block of the value axis; at an error of 1 % a block spans a factor of about 3.6.
 BLOCK = 64
 
@@ -48,13 +50,13 @@ def percentiles(counts: DataFrame, keys: list[str], quantiles: list[float], erro
     """(keys..., n, p50, p95, ...): nearest-rank percentiles of each group from its counts.
 
     A percentile is within a fraction ``error`` of the exact nearest-rank value (exact for ``error=None``); ties need no rule, as equal
-    values share a bucket. Clashing names do not arise, as only ``keys``, bucket and n are read. An empty summary gives no rows.
+    values share a bucket. The counts are made once and kept in the checkpoint folder, as offsets and running sums both read them. Clashing names do not arise, as only ``keys``, bucket and n are read. An empty summary gives no rows.
     """
     if error:
         block = F.floor(F.col("bucket") / F.lit(float(BLOCK)))
     else:  # order-preserving and fine enough for any spread: 64 blocks a factor of e
         block = F.when(F.col("bucket") > 0, F.floor(F.log("bucket") * F.lit(float(BLOCK)))).otherwise(-F.floor(F.log1p(-F.col("bucket")) * F.lit(float(BLOCK))) - F.lit(10**6))
-    rows = counts.select(*keys, "bucket", "n", block.cast("long").alias("block"))
+    rows = cut(counts.select(*keys, "bucket", "n", block.cast("long").alias("block")))
     totals = rows.groupBy(*keys, "block").agg(F.sum("n").alias("block_n"))
     ordered = Window.partitionBy(*keys).orderBy("block")
     # one row a group and block: the offsets are small however many values a group has

@@ -314,3 +314,12 @@ def test_bitmap_holds_back_nothing_that_is_there(spark):
     b = bitmap(spark.createDataFrame([(int(x),) for x in there] + [(None,)], "key long"), "key", 20)
     assert len(b) == 2**14 and among(b, there).all() and among(b, others).mean() < 0.01
     assert not among(bitmap(spark.createDataFrame([], "key long"), "key", 12), others).any()
+
+
+def test_elements_are_packed_and_compared_exactly():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 2**64, 500, dtype=np.uint64), rng.integers(0, 2**64, 400, dtype=np.uint64)
+    b[:150] = a[:150]
+    p, q = nearcopies.unpacked(nearcopies.packed(a)), nearcopies.unpacked(nearcopies.packed(b))
+    assert len(nearcopies.packed(a)) == 3000 and p.tolist() == sorted((a >> np.uint64(16)).tolist())
+    assert nearcopies.shared_elements(p, q) == 150 and nearcopies.shared_elements(p, p[:0]) == 0
