@@ -159,22 +159,23 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
 
     used = {r.n for r in item_rows.mapInPandas(lengths, "n int").distinct().collect()}  # at most ``run`` of them
     shapes = [s for s in shapes if s[0] in used]
-    item_windows = cut(windows_of(item_rows, shapes, whole=True).withColumn("window", F.xxhash64("words")))
+    item_windows = cut(windows_of(item_rows, shapes, whole=True).select(F.col("id").alias(item_id), F.col("pos").alias("item_pos"), "keys", "words"))
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"code": np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(w, np.int64) for w in b["words"])]))})
 
-    one = item_windows.groupBy("window", "words").agg(F.first("keys").alias("keys"))
+    # numbers given before the checkpoint stay: they stand for windows wherever words are not needed
+    one = cut(item_windows.groupBy("words").agg(F.first("keys").alias("keys")).withColumn("window", F.monotonically_increasing_id()))
     known = bitmap(one.select("words").mapInPandas(codes, "code long"), "code", WORD_BITS)
     item_keys = one.select(F.explode("keys").alias("key"), "window")
     keys = bitmap(item_keys, "key", KEY_BITS)
     doc_rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null"))
-    doc_windows = cut(windows_of(doc_rows, shapes, known, keys).select(F.col("id").alias("d"), F.col("pos").alias("dp"), "keys", F.col("words").alias("dw")))
+    doc_windows = cut(windows_of(doc_rows, shapes, known, keys).select(F.col("id").alias("d"), F.col("pos").alias("dp"), "keys", F.col("words").alias("dw"), F.monotonically_increasing_id().alias("row")))
     # a hot key (a passage in a third of the corpus) has many windows on this side and one a distinct item window on the other: a skewed
     # partition is split by the adaptive join
-    met = doc_windows.select("d", "dp", F.octet_length("dw").alias("size"), F.explode("keys").alias("key")).join(item_keys, "key").select("d", "dp", "size", "window").distinct()
-    pairs = met.join(doc_windows.select("d", "dp", F.octet_length("dw").alias("size"), "dw"), ["d", "dp", "size"]).join(one.select("window", F.col("words").alias("iw")), "window").where("octet_length(iw) = octet_length(dw)")
+    met = doc_windows.select("row", F.explode("keys").alias("key")).join(item_keys, "key").select("row", "window").distinct()
+    pairs = met.join(doc_windows.drop("keys"), "row").drop("row").join(one.select("window", F.col("words").alias("iw")), "window").where("octet_length(iw) = octet_length(dw)")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         allowed = {n: e for n, e, _ in shapes}
@@ -183,8 +184,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
                 read = lambda c: np.frombuffer(b"".join(part[c]), np.int64).reshape(len(part), n)  # noqa: E731, B023
                 edits = edit_distance(read("dw"), read("iw"), allowed[n])
                 good = edits <= allowed[n]
-                yield pd.DataFrame({"d": part["d"][good], "dp": part["dp"][good], "iw": part["iw"][good], "edits": edits[good].astype("int32")})
+                yield pd.DataFrame({"d": part["d"][good], "dp": part["dp"][good], "window": part["window"][good], "edits": edits[good].astype("int32")})
 
-    found = pairs.select("d", "dp", "dw", "iw").mapInPandas(verify, "d long, dp long, iw binary, edits int")
-    where = item_windows.select(F.col("id").alias(item_id), F.col("pos").alias("item_pos"), F.col("words").alias("iw")).distinct()
-    return found.join(where, "iw").select(item_id, F.col("d").alias(doc_id), F.col("dp").alias("doc_pos"), "item_pos", "edits").groupBy(item_id, doc_id, "doc_pos", "item_pos").agg(F.min("edits").alias("edits"))
+    found = pairs.select("d", "dp", "dw", "window", "iw").mapInPandas(verify, "d long, dp long, window long, edits int")
+    where = item_windows.join(one.select("words", "window"), "words").select(item_id, "item_pos", "window").distinct()
+    return found.join(where, "window").select(item_id, F.col("d").alias(doc_id), F.col("dp").alias("doc_pos"), "item_pos", "edits").groupBy(item_id, doc_id, "doc_pos", "item_pos").agg(F.min("edits").alias("edits"))
