@@ -60,8 +60,12 @@ def elements(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def minima(element: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(owners, SYMBOLS) bytes: for each symbol the low bits of the owner's smallest hash."""
     out = np.empty((len(first), SYMBOLS), np.uint8)
+    hashed = np.empty_like(element)
     for s in range(SYMBOLS):
-        out[:, s] = np.minimum.reduceat(mix(element + stream(s + 1)), first) & np.uint64(255)
+        # elements are mixed already: an offset and an odd factor give each symbol an order of its own
+        np.bitwise_xor(element, mix(stream(s + 1)), out=hashed)
+        np.multiply(hashed, mix(stream(s + 1001)) | np.uint64(1), out=hashed)
+        out[:, s] = mix(np.minimum.reduceat(hashed, first)) & np.uint64(255)
     return out
 
 
