@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewarden.functions import text as tx
+from lakewarden.operators import ranks
 
 
 def seeded(*parts: Column, seed: int = 0) -> Column:
@@ -48,7 +49,7 @@ def hidden(attacks: DataFrame, carriers: DataFrame, attack_id: str, attack: str,
     Attacks and carriers are paired by their rank in seeded order, modulo the number of carriers.
     """
     c = carriers.select(F.col(carrier).alias("c")).where("c is not null").distinct()
-    ranked = c.withColumn("slot", F.row_number().over(Window.orderBy(seeded(F.col("c"), seed=seed), "c")) - 1)  # carriers are a chosen, small set
+    ranked = ranks.numbered(c.withColumn("__h", seeded(F.col("c"), seed=seed)), [], ["__h", "c"]).select("c", F.col("__n").alias("slot"))
     total = c.agg(F.count("*").alias("total"))
     a = attacks.crossJoin(total).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), attack_id), F.greatest("total", F.lit(1))))
     j = a.join(ranked, "slot").withColumn("s", tx.sentences(F.col("c"))).withColumn("half", F.floor(F.size("s") / 2).cast("int"))

@@ -12,7 +12,7 @@ def _weighted(df: DataFrame, label: str) -> DataFrame:
     """Rows with ``weight``: classes count alike, n / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("__c"))  # two rows
     total = counts.agg(F.sum("__c").alias("__n"), F.count("*").alias("__k"))
-    return df.join(F.broadcast(counts.crossJoin(total)), label).withColumn("weight", F.col("__n") / (F.col("__k") * F.col("__c"))).drop("__c", "__n", "__k")
+    return df.join(counts.crossJoin(total), label).withColumn("weight", F.col("__n") / (F.col("__k") * F.col("__c"))).drop("__c", "__n", "__k")
 
 
 def train(df: DataFrame, vector: str, label: str, strength: float = 1.0, iterations: int = 100) -> tuple[list[float], float]:

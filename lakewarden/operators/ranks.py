@@ -6,6 +6,8 @@ that holds a third of all rows is spread over as many ranges as a third of the d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,29 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], previous: str | N
     if previous:
         rows = rows.withColumn("__previous", F.coalesce(F.lag(previous).over(w), F.col("__last"))).drop("__last")
     return rows.withColumn("__n", F.row_number().over(w) - 1 + F.col("__before")).drop("__before", RANGE)
+
+
+def at_ranks(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys..., n, names...): for each name the value at that rank (from 1, a function of n) of each group's sorted values; nulls are left out.
+
+    Ranks come from counts a value, so no task holds a group's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__count"))
+    r = cumulative(counts, keys, value, "__count")
+    return r.groupBy(*keys).agg(F.max("total").alias("n"), *[F.min(F.when(F.col("upto") >= rank(F.col("total")), F.col(value))).alias(name) for name, rank in wanted.items()])
+
+
+def interpolated(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(keys..., n, names...): percentiles with linear interpolation between neighbouring ranks, as the built-in ``percentile`` gives."""
+    ends = {f"__{side}{name}": (lambda q, up: lambda n: (F.ceil if up else F.floor)(F.lit(q) * (n - 1)) + 1)(q, side == "hi") for name, q in wanted.items() for side in ("lo", "hi")}
+    r = at_ranks(df, keys, value, ends)
+    part = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    return r.select(*keys, "n", *[(F.col(f"__lo{name}") + part(q) * (F.col(f"__hi{name}") - F.col(f"__lo{name}"))).alias(name) for name, q in wanted.items()])
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
+    """Rows with the running sum of ``amount`` within their group up to and with the row; rows equal in all of ``order`` are in any order."""
+    rows = ranged(df.withColumn("__amount", amount), keys, order)
+    rows = with_offsets(rows, keys, {"__s": F.sum("__amount")}, {"__before": F.coalesce(F.sum("__s").over(earlier(keys)), F.lit(0))})
+    upto = F.sum("__amount").over(Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn(name, upto + F.col("__before")).drop("__before", "__amount", RANGE)

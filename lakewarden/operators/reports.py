@@ -31,17 +31,18 @@ def rounded_index(df: DataFrame, keys: list[str], value: str, quantiles: list[fl
 
 
 def _by_index(df: DataFrame, keys: list[str], value: str, quantiles: list[float], rank) -> DataFrame:
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    r = ranks.cumulative(counts, keys, value, "c")
-    return r.groupBy(*keys).agg(F.max("total").alias("n"), *[F.min(F.when(F.col("upto") >= rank(F.col("total"), q), F.col(value))).alias(f"p{q * 100:g}") for q in quantiles])
+    return ranks.at_ranks(df, keys, value, {f"p{q * 100:g}": (lambda q: lambda n: rank(n, q))(q) for q in quantiles})
 
 
 def latency(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """(keys..., n, p50, p95, p99, max) by nearest rank, and the same over everything under the key "total" (the first key's)."""
-    picks = [F.count(value).alias("n"), *[nearest_rank(value, q).alias(f"p{q * 100:g}") for q in quantiles], F.max(value).alias("max")]
-    per = df.groupBy(*keys).agg(*picks)
-    total = df.select(F.lit("total").alias(keys[0]), *[F.lit(None).cast(dict(df.dtypes)[k]).alias(k) for k in keys[1:]], value).groupBy(*keys).agg(*picks)
-    return per.unionByName(total)
+    rows = df.select(*keys, value)
+    rows = rows.unionByName(df.select(F.lit("total").alias(keys[0]), *[F.lit(None).cast(dict(df.dtypes)[k]).alias(k) for k in keys[1:]], value))
+    per = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.max(value).alias("max"))
+    found = _by_index(rows, keys, value, list(quantiles), lambda n, q: F.greatest(F.ceil(F.lit(q) * n - 1e-9), F.lit(1))).drop("n")
+    renamed = {k: f"__{k}" for k in keys}
+    found = found.withColumnsRenamed(renamed)
+    return per.join(found, ranks.same(keys, renamed), "left").select(*keys, "n", *[f"p{q * 100:g}" for q in quantiles], "max")
 
 
 def stage_spans(traces: DataFrame, trace_id: str = "trace_id", spans: str = "spans", total: str = "total_ms") -> DataFrame:
@@ -82,7 +83,7 @@ def slowest(df: DataFrame, total: str, tie: str, n: int = 10) -> DataFrame:
 def limits_broken(df: DataFrame, value: str, limits: dict[float, float]) -> DataFrame:
     """One row: nearest-rank percentiles of ``value`` and the array of limits they exceed (limits: quantile -> most)."""
     names = {q: f"p{q * 100:g}" for q in limits}
-    row = df.agg(F.count(value).alias("n"), *[nearest_rank(value, q).alias(names[q]) for q in limits])
+    row = _by_index(df, [], value, list(limits), lambda n, q: F.greatest(F.ceil(F.lit(q) * n - 1e-9), F.lit(1))).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     over = F.array_compact(F.array(*[F.when(F.col(names[q]) > most, F.lit(names[q])) for q, most in limits.items()]))
     return row.withColumn("violations", F.array_join(over, ",")).withColumn("passed", F.size(over) == 0)
 

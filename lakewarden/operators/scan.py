@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewarden.operators import ranks
+from lakewarden.runtime import cut
+
 FLAG_AT, QUARANTINE_AT = 0.3, 0.8
 
 
@@ -61,7 +64,7 @@ def outliers(df: DataFrame, group: str, item: str, vector: str, fewest: int = 5)
     """(group, item, distance, z, score): how far each vector lies from its group's centroid, by robust z of cosine distances.
 
     z = (d - median) / (1.4826 MAD), score = 0.6 clip((z - 2) / 4). Groups below ``fewest`` vectors, or with a MAD below 1e-9, score 0. Centroids are
-    averaged dimension by dimension, so a group of any size is combined on the map side; null vectors are left out.
+    averaged dimension by dimension and medians ranked over ranges, so no task holds a group of any size; null vectors are left out.
     """
     rows = df.select(group, item, F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).where("v is not null")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-12)
@@ -70,9 +73,10 @@ def outliers(df: DataFrame, group: str, item: str, vector: str, fewest: int = 5)
     centre = dims.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c"))  # one number a dimension
     dot = F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     size = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-12)
-    far = rows.join(centre, group).select(group, item, (F.lit(1.0) - dot / size).alias("distance"))
-    mid = far.groupBy(group).agg(F.median("distance").alias("m"), F.count("*").alias("n"))
-    spread = far.join(mid, group).groupBy(group, "m", "n").agg(F.median(F.abs(F.col("distance") - F.col("m"))).alias("mad"))
+    far = cut(rows.join(centre, group).select(group, item, (F.lit(1.0) - dot / size).alias("distance")))
+    mid = ranks.interpolated(far, [group], "distance", {"m": 0.5})
+    off = far.join(mid.select(group, "m"), group).select(group, F.abs(F.col("distance") - F.col("m")).alias("off"))
+    spread = mid.join(ranks.interpolated(off, [group], "off", {"mad": 0.5}).select(group, "mad"), group)
     out = far.join(spread, group)
     flat = (F.col("n") < fewest) | (F.col("mad") < 1e-9)
     z = F.when(flat, F.lit(0.0)).otherwise((F.col("distance") - F.col("m")) / (F.lit(1.4826) * F.col("mad")))

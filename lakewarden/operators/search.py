@@ -12,67 +12,73 @@ from pyspark.sql import functions as F
 from lakewarden.functions import text as tx
 from lakewarden.functions import vectors as vx
 
-#: Bytes of query vectors that are handed to every task at once.
-QUERY_BLOCK_BYTES = 64 << 20
+#: Most bytes of vectors in one block of queries and in one batch of items.
+QUERY_BLOCK_BYTES, ITEM_BATCH_BYTES = 16 << 20, 8 << 20
+
+
+def _packed(rows: DataFrame, width: int, most: int, kind: str, prefix: str) -> DataFrame:
+    """(ids, vectors): rows (i, v) packed into blocks of at most ``most`` bytes of unit vectors; zero vectors are left out."""
+    count = max(1, most // (8 * width))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list = []
+        parts: list[np.ndarray] = []
+
+        def block() -> pd.DataFrame:
+            return pd.DataFrame({f"{prefix}_ids": [ids], f"{prefix}_vectors": [np.concatenate(parts).tobytes()]})
+
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.array(b["v"].tolist(), float)
+            length = np.linalg.norm(x, axis=1)
+            own = b["i"].tolist()
+            keep = np.nonzero(length > 0)[0]
+            for lo in range(0, len(keep), count):
+                at = keep[lo : lo + count]
+                if ids and len(ids) + len(at) > count:
+                    yield block()
+                    ids, parts = [], []
+                ids += [own[j] for j in at]
+                parts.append(x[at] / length[at, None])
+        if ids:
+            yield block()
+
+    return rows.mapInPandas(pack, f"{prefix}_ids array<{kind}>, {prefix}_vectors binary")
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, query_vec: str = "embedding", item_vec: str = "embedding", with_self: bool = True) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of highest cosine for each query, exact.
 
-    Queries go to the tasks in blocks of a bounded size; each task multiplies its item batches with a block, keeps k a query, and the partial
-    lists merge in a window, so nothing but k rows a query and task is shuffled. Ties go to the smaller item id. Null and zero vectors, and those of another
-    length than most, match nothing.
+    Queries and items are packed into blocks of a bounded size on the executors; every block of queries meets every batch of items, one matrix product
+    each, keeps k a query, and the partial lists merge in a window, so only k rows a query and batch are shuffled and no vector passes the
+    driver. Ties go to the smaller item id. Null and zero vectors, and those of another length than most, match nothing.
     """
-    q = queries.select(F.col(query_id).alias("q"), vx.doubles(F.col(query_vec)).alias("v")).where("v is not null and size(v) > 0")
+    q = queries.select(F.col(query_id).alias("i"), vx.doubles(F.col(query_vec)).alias("v")).where("v is not null and size(v) > 0")
     width = (q.select(F.size("v").alias("n")).groupBy("n").count().orderBy(F.desc("count")).first() or [0])[0]
-    schema = f"{query_id} {dict(queries.dtypes)[query_id]}, {item_id} {dict(items.dtypes)[item_id]}, score double"
+    q_kind, i_kind = dict(queries.dtypes)[query_id], dict(items.dtypes)[item_id]
+    schema = f"{query_id} {q_kind}, {item_id} {i_kind}, score double"
     if not width:
         return q.sparkSession.createDataFrame([], schema + ", rank int")
+    blocks = _packed(q.where(F.size("v") == width), width, QUERY_BLOCK_BYTES, q_kind, "q")
     rows = items.select(F.col(item_id).alias("i"), vx.doubles(F.col(item_vec)).alias("v")).where(F.size("v") == width)
-    size = max(1, QUERY_BLOCK_BYTES // (8 * width))
-    found = None
-    pending: list = []
-
-    def against(block: list) -> DataFrame:
-        ids = [r[0] for r in block]
-        m = np.array([r[1] for r in block], float)
-        n = np.linalg.norm(m, axis=1)
-        m[n > 0] /= n[n > 0, None]
-        shared = q.sparkSession.sparkContext.broadcast((ids, m, n > 0))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m, good = shared.value
-            best: list[list[tuple]] = [[] for _ in ids]
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.array(b["v"].tolist(), float)
-                length = np.linalg.norm(x, axis=1)
-                x[length > 0] /= length[length > 0, None]
-                s = m @ x.T
-                s[:, length == 0] = -np.inf
-                item = b["i"].tolist()
+    batches_ = _packed(rows, width, ITEM_BATCH_BYTES, i_kind, "i")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, raw, own, vectors in zip(b["q_ids"], b["q_vectors"], b["i_ids"], b["i_vectors"]):
+                m, x = np.frombuffer(raw).reshape(-1, width), np.frombuffer(vectors).reshape(-1, width)
+                item, out = list(own), []
                 top = min(len(item), k + 1)
-                for row, qid in enumerate(ids):
-                    if not good[row]:
-                        continue
-                    edge = np.partition(s[row], -top)[-top]
-                    for j in np.nonzero(s[row] >= edge)[0]:
-                        if (with_self or item[j] != qid) and s[row, j] > -np.inf:
-                            best[row].append((-float(s[row, j]), item[j]))
-                    best[row] = sorted(best[row])[:k]
-            yield pd.DataFrame([(ids[r], i, -s) for r, own in enumerate(best) for s, i in own], columns=[query_id, item_id, "score"])
-
-        return rows.mapInPandas(score, schema)
-
-    for r in q.toLocalIterator():
-        if len(r[1]) == width:
-            pending.append((r[0], r[1]))
-        if len(pending) == size:
-            found = against(pending) if found is None else found.unionByName(against(pending))
-            pending = []
-    if pending:
-        found = against(pending) if found is None else found.unionByName(against(pending))
+                for lo in range(0, len(m), 256):
+                    s = m[lo : lo + 256] @ x.T
+                    edge = np.partition(s, -top, axis=1)[:, -top]
+                    for row, qid in enumerate(ids[lo : lo + 256]):
+                        close = [(-float(s[row, j]), item[j]) for j in np.nonzero(s[row] >= edge[row])[0] if with_self or item[j] != qid]
+                        out += [(qid, i, -d) for d, i in sorted(close)[:k]]
+                yield pd.DataFrame(out, columns=[query_id, item_id, "score"])
+
+    found = batches_.crossJoin(blocks).mapInPandas(score, schema)  # a row a batch and block of megabytes, not a row a pair
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), item_id))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

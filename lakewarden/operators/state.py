@@ -79,11 +79,12 @@ def token_bucket(events: DataFrame, key: str, ts_seconds: str, tie: str, capacit
     """Events with ``allowed`` and the tokens left: a bucket of ``capacity`` refilled at ``refill`` a second, one token an admitted event.
 
     Whether an event is admitted depends on all decisions before it since the bucket was last full. It is full again after a gap of
-    capacity / refill seconds, whatever happened, so each key is cut there into sessions that are folded on their own.
+    capacity / refill seconds, whatever happened, so each key is cut there into sessions that are folded on their own. Cuts are found over ranges of
+    a key's events, so a key that holds a third of them is no single task.
     """
-    w = Window.partitionBy(key).orderBy(ts_seconds, tie)
-    gap = F.col(ts_seconds) - F.lag(ts_seconds).over(w)
-    rows = events.withColumn("__s", F.sum(F.coalesce((gap >= capacity / refill).cast("int"), F.lit(1))).over(w))
+    found = ranks.numbered(events, [key], [ts_seconds, tie], previous=ts_seconds)
+    gap = F.col(ts_seconds) - F.col("__previous")
+    rows = ranks.running(found.withColumn("__cut", F.coalesce((gap >= capacity / refill).cast("int"), F.lit(1))).drop("__n", "__previous"), [key], [ts_seconds, tie], F.col("__cut"), "__s").drop("__cut")
     schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("tokens_left", T.DoubleType())])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

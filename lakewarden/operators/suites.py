@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewarden.operators import evaluation
+from lakewarden.operators import evaluation, ranks
 
 
 def screening(results: DataFrame, config: str, family: str, is_attack: Column, action: str) -> DataFrame:
@@ -84,8 +84,11 @@ def grounding(results: DataFrame, answer: str, status: str) -> DataFrame:
 
 
 def component_latency(df: DataFrame, component: str, ms: str) -> DataFrame:
-    """(component, runs, mean, spread, p50, p95, p99) with interpolated percentiles."""
-    return df.groupBy(component).agg(F.count(ms).alias("runs"), F.round(F.avg(ms), 4).alias("mean"), F.round(F.stddev_pop(ms), 4).alias("spread"), *[F.round(F.percentile(ms, q), 4).alias(f"p{q * 100:g}") for q in (0.5, 0.95, 0.99)])
+    """(component, runs, mean, spread, p50, p95, p99) with interpolated percentiles; a component without a time has null ones."""
+    per = df.groupBy(component).agg(F.count(ms).alias("runs"), F.round(F.avg(ms), 4).alias("mean"), F.round(F.stddev_pop(ms), 4).alias("spread"))
+    picks = {f"p{q * 100:g}": q for q in (0.5, 0.95, 0.99)}
+    found = ranks.interpolated(df.select(component, F.col(ms).cast("double").alias(ms)), [component], ms, picks).withColumnRenamed(component, "__c")
+    return per.join(found, ranks.same([component], {component: "__c"}), "left").select(component, "runs", "mean", "spread", *[F.round(p, 4).alias(p) for p in picks])
 
 
 def interval_text(mean: Column, low: Column, high: Column, places: int = 1) -> Column:

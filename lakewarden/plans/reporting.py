@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakewarden.functions import text as tx
 from lakewarden.functions import vectors as vx
 from lakewarden.functions.decoding import decoded, encoded
-from lakewarden.operators import audit, chunking, datasets, evaluation, filters, reports, state
+from lakewarden.operators import audit, chunking, datasets, evaluation, filters, ranks, reports, state
 from lakewarden.plans.registry import query
 from lakewarden.plans.retrieval import CANDIDATES, candidates
 from lakewarden.runtime import spread, table
@@ -44,8 +44,8 @@ def percentile_variants(spark: SparkSession, d: str) -> DataFrame:
     t = screened(spark, d).where("execution_time_ms is not null and not isnan(execution_time_ms)").select("action", F.col("execution_time_ms").alias("v"))
     low = reports.floor_index(t, ["action"], "v", [0.5, 0.95]).select("action", "n", F.col("p50").alias("floor_p50"), F.col("p95").alias("floor_p95"))
     mid = reports.rounded_index(t, ["action"], "v", [0.5, 0.95]).select("action", F.col("p50").alias("rounded_p50"), F.col("p95").alias("rounded_p95"))
-    line = t.groupBy("action").agg(F.round(F.percentile("v", 0.5), 6).alias("linear_p50"), F.round(F.percentile("v", 0.95), 6).alias("linear_p95"), F.round(F.stddev_pop("v"), 4).alias("spread"))
-    return low.join(mid, "action").join(line, "action")
+    line = ranks.interpolated(t, ["action"], "v", {"a": 0.5, "b": 0.95}).select("action", F.round("a", 6).alias("linear_p50"), F.round("b", 6).alias("linear_p95"))
+    return low.join(mid, "action").join(line, "action").join(t.groupBy("action").agg(F.round(F.stddev_pop("v"), 4).alias("spread")), "action")
 
 
 @query(f"SELECT trace_id, execution_time_ms FROM {SCREENED} WHERE {_OK} ORDER BY execution_time_ms DESC, trace_id LIMIT 10")
@@ -58,7 +58,7 @@ SELECT CASE WHEN n <= 20 THEN '001-020' WHEN n <= 50 THEN '021-050' WHEN n <= 15
 def latency_by_length(spark: SparkSession, d: str) -> DataFrame:
     t = screened(spark, d).where("execution_time_ms is not null and not isnan(execution_time_ms)").withColumn("w", F.size(tx.tokens(F.col("original_query")))).where("w > 0")
     bucket = F.when(F.col("w") <= 20, "001-020").when(F.col("w") <= 50, "021-050").when(F.col("w") <= 150, "051-150").otherwise("151+")
-    return t.groupBy(bucket.alias("words")).agg(F.count("*").alias("n"), reports.nearest_rank("execution_time_ms", 0.5).alias("p50"), reports.nearest_rank("execution_time_ms", 0.95).alias("p95"))
+    return reports.latency(t.withColumn("words", bucket), ["words"], "execution_time_ms", (0.5, 0.95)).where("words <> 'total'").drop("max")
 
 
 @query(f"""WITH p AS (SELECT count(v) AS n, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99 FROM (SELECT execution_time_ms AS v FROM {SCREENED} WHERE {_OK}))

@@ -25,10 +25,13 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that later stages neither recompute it nor depend on executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a temporary one is used.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local session uses a temporary one; on a cluster, whose executors share
+    no such folder, it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lakewarden-"))
     return df.checkpoint(eager=True)
