@@ -187,6 +187,35 @@ w AS (SELECT *, sum(n) OVER (PARTITION BY {names} ORDER BY bucket) AS cum, sum(n
 SELECT {names}, CAST(max(total) AS BIGINT) AS n, {picks} FROM w GROUP BY {names}"""
 
 
+#: Words of a text in SQL: invisible characters removed, the compatibility forms that occur in the tables replaced, lower case.
+_FORMS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "º": "o", "ª": "a", "²": "2", "³": "3", "¹": "1", "½": "1⁄2", "…": "...", " ": " "}
+
+
+def _words_sql(column: str) -> str:
+    plain = f"regexp_replace({column}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g')"
+    for a, b in _FORMS.items():
+        plain = f"replace({plain}, '{a}', '{b}')"
+    ascii_ = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "'")
+    plain = f"translate({plain}, '{''.join(chr(ord(c) + 0xFEE0) for c in ascii_)}', '{ascii_}')"  # full-width forms
+    return f"regexp_extract_all(lower(nfc_normalize({plain})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_NEAR = f"""w AS (SELECT DISTINCT candidate_id AS id, list_sort({_words_sql("content")}) AS ws FROM candidates WHERE candidate_id IS NOT NULL AND content <> ''),
+rep AS (SELECT ws, min(id) AS rep, len(ws) AS n FROM w WHERE len(ws) > 0 GROUP BY ws),
+m AS (SELECT rep, x, count(*) AS k FROM (SELECT rep, unnest(ws) AS x FROM rep) GROUP BY ALL),
+near AS (SELECT a.rep AS a, b.rep AS b, sum(least(a.k, b.k)) AS s FROM m a JOIN m b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM near JOIN rep x ON x.rep = a JOIN rep y ON y.rep = b WHERE s >= 0.7 * (x.n + y.n - s)),
+member AS (SELECT DISTINCT id, rep FROM w JOIN rep USING (ws))"""
+_SAME = f"""h AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, list_distinct({_words_sql("question")}) AS ws FROM qa_heldout),
+q AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, list_distinct({_words_sql("question")}) AS ws FROM qa),
+pair AS (SELECT h.id AS heldout_id, q.id AS qa_id, h.ws AS a, q.ws AS b FROM h, q WHERE len(h.ws) > 0 AND len(q.ws) >= 0.75 * len(h.ws) AND len(h.ws) >= 0.75 * len(q.ws)),
+found AS (SELECT DISTINCT heldout_id, qa_id FROM pair WHERE len(list_intersect(a, b)) >= 0.75 * (len(a) + len(b) - len(list_intersect(a, b))))"""
+
+
+def _grams_sql(table_: str, key: str, column: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT {key}, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT {key}, {_words_sql(column)} AS ws FROM {table_}))"
+
+
 def oracle_sql() -> dict[str, str]:
     threat = _TIMES.format(kind="action", policy="policy_version", name="threat_results")
     layer2 = _TIMES.format(kind="status", policy="NULL::VARCHAR", name="layer2_results")
@@ -194,6 +223,18 @@ def oracle_sql() -> dict[str, str]:
     traced = f"SELECT l.trace_id, l.tenant_id, l.kind, t.policy_version, l.day, l.ms FROM {layer2} l LEFT JOIN (SELECT trace_id, max(policy_version) AS policy_version FROM threat_results GROUP BY trace_id) t USING (trace_id)"
     both = f"SELECT 'threat_results' AS origin, * FROM {threat} UNION ALL SELECT 'layer2_results', * FROM ({traced})"
     return {
+        "p1_found": f"""WITH {_NEAR}, both_ways AS (SELECT a, b FROM links UNION ALL SELECT rep, rep FROM rep)
+SELECT DISTINCT least(x.id, y.id) AS candidate_id_a, greatest(x.id, y.id) AS candidate_id_b FROM both_ways JOIN member x ON x.rep = a JOIN member y ON y.rep = b WHERE x.id <> y.id""",
+        "p1_classes": f"""WITH RECURSIVE {_NEAR}, edge AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (SELECT rep, rep FROM rep UNION SELECT node, b FROM reach JOIN edge ON a = other),
+class AS (SELECT node, min(other) AS class FROM reach GROUP BY node), count_ AS (SELECT a AS node, count(*) AS links FROM edge GROUP BY a)
+SELECT id AS candidate_id, min(class) AS class, CAST(coalesce(sum(links), 0) AS BIGINT) AS links FROM member JOIN class ON rep = class.node LEFT JOIN count_ ON rep = count_.node GROUP BY id""",
+        "p2_found": f"WITH {_SAME} SELECT * FROM found",
+        "p2_report": f"""WITH {_SAME} SELECT split, source, count(*) AS questions, count(hit) AS overlapping, count(hit) / count(*) AS share
+FROM (SELECT DISTINCT CAST(id AS VARCHAR) AS id, split, source FROM qa_heldout) LEFT JOIN (SELECT DISTINCT heldout_id AS hit FROM found) ON id = hit GROUP BY split, source""",
+        "p6_found": f"WITH i AS ({_grams_sql('heldout_passages', 'item_id', 'passage')}), d AS ({_grams_sql('documents', 'doc_id', 'text')}) SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (g)",
+        # no tokenizer in SQL, but every text is well above or well below its limit in tokens of any: words and signs, a quarter more, or an eighth of its bytes decide alike
+        "p8_found": "SELECT DISTINCT doc_id FROM documents JOIN size_limits USING (doc_type) WHERE greatest(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]')) * 1.25, octet_length(encode(text)) / 8) > max_tokens",
         "p3_policy_percentiles": _percentile_sql(both, "origin tenant_id kind policy_version day", log_bucket, log_shown),
         "p3_policy_months": _percentile_sql(f"SELECT *, CAST(date_trunc('month', day) AS DATE) AS month FROM ({both})", "origin tenant_id kind policy_version month", log_bucket, log_shown),
         "p3_daily_percentiles": _percentile_sql(f"SELECT 'threat_results' AS origin, * FROM {threat} UNION ALL SELECT 'layer2_results', * FROM {layer2}", "origin tenant_id kind policy_version day", log_bucket, log_shown),
