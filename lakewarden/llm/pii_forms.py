@@ -211,7 +211,7 @@ CUES = {
     "person_name": {"en": ["ask", "by", "signed by", "contact", "with", "from", "employee", "said", "met", "for", "Dear", "manager", "Regards,", "interview with", "cc", "and", "attended by", "patient", "reported by"], "de": ["von", "mit", "Ansprechpartner", "Frau", "gezeichnet", "bei", "Kollege", "Gruß,", "an", "und", "Gespräch mit"], "fr": ["par", "avec", "de", "signé", "contacter", "chez", "Bonjour", "pour", "et", "entretien avec", "joindre"], "es": ["por", "con", "de", "firmado por", "contactar a", "para", "según", "y", "Entrevista con"], "xx": ["by", "with", "from", "signed"]},
 }
 TEMPLATES = {
-    "en": ["Please {c} {x} before {o}.", "{X} will join the call on {o}.", "The request came {c} {x}, and the desk closed it.", "Our records show {c} {x} for this customer.", "If nobody answers, {c} {x}.", "{c} {x}", "Yesterday {X} asked for a refund of {o}.", "The form lists {x} as the owner; see {o}.", "({x})", "Visitors must report to {o}; questions go to {x}.", "I spoke with {X} and {X} about {o}.", "Notes: {c} {x}; {c} {x}.", "{x} - {x} - {x}", "My {c} {x}, thank you.", "{X} has approved {o}.", "Minutes were taken when {o} was discussed, {c} {x}.", "Send {o} to {x} or {x}.", "Name: {X}\nContact: {x}\nAddress: {x}", "| {x} | {o} | {x} |", "{X}'s laptop was replaced under {o}.", "Until {o}, {X} and the team of {o} share {o}.", "Reviewed {c} {x} at {o}.", "They found {o}, {o} and {o} near {o}.", "As agreed with {o}, {x} stays confidential.", "Both {o} and {o} were updated; {c} {x} for details.", "{X} told us that {o} failed.", "{x}, who noticed {o}, wrote to {X}.", "Claimant {X} ({x}) lives at {x}.", "Approved: {X} ({o})", "Signed\n{X}\n{x}", "It was {X} who saw {o}.", "{o}: {X}, {x}.", "Record of {X}, {c} {x}.", "The customer's {c} {x} was written on {o}."],
+    "en": ["Please {c} {x} before {o}.", "{X} will join the call on {o}.", "The request came {c} {x}, and the desk closed it.", "Our records show {c} {x} for this customer.", "If nobody answers, {c} {x}.", "{c} {x}", "Yesterday {X} asked for a refund of {o}.", "The form lists {x} as the owner; see {o}.", "({x})", "Visitors must report to {o}; questions go to {x}.", "I spoke with {X} and {X} about {o}.", "Notes: {c} {x}; {c} {x}.", "{x} - {x} - {x}", "My {c} {x}, thank you.", "{X} has approved {o}.", "{X} and {X} met {X} in {o}.", "{o} and {o} report to {o}.", "{o} hosts {o}.", "The {o} and the {o} have {o}.", "Regards, {X}", "{X} works at {o}.", "{X} starts next week.", "They told {X} to wait.", "Minutes were taken when {o} was discussed, {c} {x}.", "Send {o} to {x} or {x}.", "Name: {X}\nContact: {x}\nAddress: {x}", "| {x} | {o} | {x} |", "{X}'s laptop was replaced under {o}.", "Until {o}, {X} and the team of {o} share {o}.", "Reviewed {c} {x} at {o}.", "They found {o}, {o} and {o} near {o}.", "As agreed with {o}, {x} stays confidential.", "Both {o} and {o} were updated; {c} {x} for details.", "{X} told us that {o} failed.", "{x}, who noticed {o}, wrote to {X}.", "Claimant {X} ({x}) lives at {x}.", "Approved: {X} ({o})", "Signed\n{X}\n{x}", "It was {X} who saw {o}.", "{o}: {X}, {x}.", "Record of {X}, {c} {x}.", "The customer's {c} {x} was written on {o}."],
     "de": ["Bitte {c} {x} vor {o} melden.", "{X} hat {o} freigegeben.", "Die Anfrage kam {c} {x} und wurde in {o} erledigt.", "Unterlagen: {c} {x}.", "Rückfragen an {x} oder {x}.", "Gestern hat {X} nach {o} gefragt.", "Laut {o} gilt die Frist für {o} weiter.", "{c} {x}", "Für {o} zuständig: {x}", "Das Gespräch mit {X} über {o} dauerte eine Stunde.", "Eintrag {o} stammt {c} {x}.", "Zwischen {o} und {o} fehlten Zeilen bei {o}.", "Ihre {c} {x} ist hinterlegt."],
     "fr": ["Merci de {c} {x} avant {o}.", "{X} a validé {o}.", "La demande vient {c} {x} et concerne {o}.", "Dossier suivi {c} {x}.", "Hier, {X} a demandé {o}.", "Selon {o}, la règle de {o} reste valable.", "{c} {x}", "Contactez {x} ou {x}.", "Entre {o} et {o}, il manquait des lignes chez {o}.", "Livraison chez {X}, {x}, {o}.", "Votre {c} {x} est enregistré."],
     "es": ["Favor de {c} {x} antes de {o}.", "{X} aprobó {o}.", "La solicitud llegó {c} {x} y se cerró en {o}.", "Datos: {c} {x}.", "Ayer {X} pidió {o}.", "Según {o}, la regla de {o} sigue vigente.", "{c} {x}", "Consultas a {x} o {x}.", "Entre {o} y {o} faltaron líneas en {o}.", "Entrega a {X}, {x}, {o}.", "Su {c} {x} consta en el archivo."],
@@ -238,7 +238,7 @@ def composed(forms: Forms, kinds: list[str], fillers: list[str] | None = None) -
                     if forms.chance(0.35):
                         text += forms.look_alike(lang)
                     else:
-                        kind = "person_name" if forms.chance(0.4) else forms.of(kinds)
+                        kind = "person_name" if forms.chance(0.5) else forms.of(kinds)
                         value = getattr(forms, kind)(lang)
                         if kind == "id_number" or (kind != "person_name" and forms.chance(0.3)):
                             text += forms.of(CUES[kind][lang]) + " "

@@ -16,7 +16,7 @@ from lakewarden.llm.pii import JOINING, KINDS
 _bare = lambda w: "".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c))
 #: Given names known to the labeller.
 GIVEN = frozenset(_bare(x) for names in pii_forms.GIVEN.values() for x in names)
-NOUNS = frozenset(x.lower() for x in [*pii_forms.PLACES_AFTER, *pii_forms.UNITS_AFTER, *(x for v in pii_forms.UNITS_BEFORE.values() for x in v)]) | JOINING
+NOUNS = frozenset(x.lower() for x in [*pii_forms.PLACES_AFTER, *pii_forms.UNITS_AFTER, *pii_forms.PLACES_BEFORE, *pii_forms.ORGANISED, *(x for v in pii_forms.UNITS_BEFORE.values() for x in v), *(w for cues in pii_forms.CUES.values() for v in cues.values() for c in v for w in re.findall(r"[^\W\d_]+", c))]) | JOINING
 _AT = r"(?:\s*[\[({]\s*(?:at|arroba|ät)\s*[\])}]\s*)"
 _DOT = r"(?:\s*[\[({]\s*(?:dot|punto|point|punkt)\s*[\])}]\s*|\s+(?:dot|punto|point|punkt)\s+)"
 _LOCAL = r"[^\W_](?:[\w.+%'-]{0,62}[^\W_])?"
