@@ -81,7 +81,7 @@ class Model:
         return one if two is None else math.log(0.3 * math.exp(one) + 0.7 * math.exp(two))
 
 
-def readings(seen: str, model: Model, name: bool = False, most: int = 2, width: int = 40) -> list[tuple[str, float]]:
+def readings(seen: str, model: Model, name: bool = False, most: int = 2) -> list[tuple[str, float]]:
     """Candidate words of a seen word (lower case) with log P(seen | word), the seen word first.
 
     Candidates are words of the vocabulary; a ``name`` may also be respelled, if its own spelling is rare.
@@ -101,7 +101,7 @@ def readings(seen: str, model: Model, name: bool = False, most: int = 2, width:
                         if c > found.get(new, -1e9):
                             found[new] = c
                             grown.append((new, c, i + len(meant)))
-        edge = grown[:width]
+        edge = grown
     known = [(w, c) for w, c in found.items() if w in model.words and w != seen]
     named = [] if known or not name or seen[-1].isdigit() else [(w, c) for w, c in found.items() if w != seen and not any(x.isdigit() for x in w)]
     # outside the vocabulary a spelling alone must outweigh NAME_DOUBT, unless digits stand among letters
@@ -117,7 +117,7 @@ def plausible(token: str) -> bool:
     if not digits:
         return 3 <= len(token) <= LONGEST
     letters = len(token) - digits
-    return digits <= 2 and 3 <= letters <= LONGEST and not token[-2:].isdigit() and not token[0].isdigit()
+    return digits <= 2 and 3 <= letters <= LONGEST and not token[-2:].isdigit()
 
 
 class Speller:
