@@ -46,11 +46,6 @@ def stream(k: int) -> np.uint64:
     return np.uint64(k * int(_MIX[0]) % 2**64)
 
 
-def streams(count: int, first: int = 1) -> np.ndarray:
-    """Offsets ``first``, ``first + 1``, ... of the family, mixed."""
-    return mix(np.array([stream(first + k) for k in range(count)], np.uint64))
-
-
 def elements(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(element, code, owner): the k-th occurrence of a word within its owner is an element of its own; sorted by owner."""
     order = np.lexsort((codes, owner))
@@ -65,13 +60,8 @@ def elements(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def minima(element: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(owners, SYMBOLS) bytes: for each symbol the low bits of the owner's smallest hash."""
     out = np.empty((len(first), SYMBOLS), np.uint8)
-    hashed = np.empty_like(element)
-    offset, factor = streams(SYMBOLS), streams(SYMBOLS, 1001) | np.uint64(1)
-    for s in range(SYMBOLS):
-        # elements are mixed already: an offset and an odd factor give each symbol an order of its own
-        np.bitwise_xor(element, offset[s], out=hashed)
-        np.multiply(hashed, factor[s], out=hashed)
-        out[:, s] = mix(np.minimum.reduceat(hashed, first)) & np.uint64(255)
+    for s, offset in enumerate(stream(k + 1) for k in range(SYMBOLS)):
+        out[:, s] = np.minimum.reduceat(mix(element + offset), first) & np.uint64(255)
     return out
 
 
