@@ -178,6 +178,11 @@ def chunk_keys(representatives: DataFrame) -> DataFrame:
     return representatives.select("rep", "signature", *SKETCHED).mapInPandas(run, "rep long, key long, n int, " + ", ".join(f"s{i} long" for i in range(LANES)))
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join: all tables here grow with the records, and Spark takes those that come out of Python for smaller than they are, so none may be broadcast through the driver."""
+    return df.hint("merge")
+
+
 def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(members: id, rep; pairs: a, b, similarity), a < b representatives whose contents are similar, each link once.
 
@@ -190,13 +195,14 @@ def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: floa
     base = cut(profiles(rows))
     members = base.select("id", "same").distinct()
     reps = base.groupBy("same").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("signature", *SKETCHED)])
-    members = members.join(reps.select("same", "rep"), "same").select("id", "rep")
+    members = members.join(merging(reps.select("same", "rep")), "same").select("id", "rep")
     keys = chunk_keys(reps)
-    met = keys.alias("x").join(keys.alias("y"), F.expr(f"x.key = y.key and x.rep < y.rep and {possible('x', 'y', similarity)}"))
+    met = keys.alias("x").join(merging(keys.alias("y")), F.expr(f"x.key = y.key and x.rep < y.rep and {possible('x', 'y', similarity)}"))
     near = cut(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = multisets(rows.join(involved, "id", "left_semi")).distinct()
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
+    sets = multisets(rows.join(merging(involved), "id", "left_semi")).distinct()
+    left, right = (merging(sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}"))) for x in "ab")
+    both = near.join(left, "a").join(right, "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -218,8 +224,8 @@ def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: floa
 def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b), a < b: all linked pairs of ids, copies included."""
     m = members.select("id", "rep")
-    across = pairs.join(m.select(F.col("rep").alias("a"), F.col("id").alias("i")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("j")), "b").select("i", "j")
-    within = m.alias("x").join(m.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
+    across = pairs.join(merging(m.select(F.col("rep").alias("a"), F.col("id").alias("i"))), "a").join(merging(m.select(F.col("rep").alias("b"), F.col("id").alias("j"))), "b").select("i", "j")
+    within = m.alias("x").join(merging(m.alias("y")), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
     return across.unionByName(within).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
@@ -232,12 +238,12 @@ def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
     edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut(members.select(F.col("rep").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
-        near = edges.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.join(step.select(F.col("node").alias("n2"), F.col("label").alias("l2")), F.col("label") == F.col("n2"), "left").select("node", "old", F.least("label", "l2").alias("label"))
+        near = edges.join(merging(label), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        step = label.join(merging(near), F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = step.join(merging(step.select(F.col("node").alias("n2"), F.col("label").alias("l2"))), F.col("label") == F.col("n2"), "left").select("node", "old", F.least("label", "l2").alias("label"))
         jump = cut(jump)
         label = jump.select("node", "label")
         if jump.where("label <> old").isEmpty():
             break
     links = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    return members.join(label, F.col("rep") == F.col("node")).drop("node").join(links, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min("label").alias("class"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    return members.join(merging(label), F.col("rep") == F.col("node")).drop("node").join(merging(links), F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min("label").alias("class"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))

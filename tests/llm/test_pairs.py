@@ -129,6 +129,21 @@ def test_near_copies_edges(spark):
     assert nearcopies.expanded(members, pairs).count() == 0 and nearcopies.classes(members, pairs).count() == 0
 
 
+def test_near_copies_broadcast_nothing(spark, monkeypatch):
+    """Every table of the joins grows with the records: none goes through the driver, however small Spark takes it for."""
+    plans = []
+    real = nearcopies.cut
+    monkeypatch.setattr(nearcopies, "cut", lambda df: (plans.append(df), real(df))[1])
+    df = spark.createDataFrame(corpus(7, 40), "id long, text string")
+    members, pairs = nearcopies.near_copies(df, "id", "text")
+    plans += [nearcopies.expanded(members, pairs), nearcopies.classes(members, pairs)]
+    for p in plans[-2:]:
+        p.collect()
+    texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(texts) > 5 and sum("SortMergeJoin" in t for t in texts) > 3
+    assert not any("Broadcast" in t for t in texts)
+
+
 def questions(seed, n, prefix):
     rng = random.Random(seed)
     return [(f"{prefix}{i}", f"How many days may {name(rng)} staff of {name(rng)} {name(rng)} keep the {name(rng)} files when the {name(rng)} box is full under rule {rng.randrange(10000)}") for i in range(n)]
