@@ -4,7 +4,7 @@ A record is the multiset of its words. Its signature has ``SYMBOLS`` symbols of
 signatures agree in a symbol with the similarity that is asked, whatever the words are and however frequent. Signatures are cut into ``CHUNKS``
 chunks; by the pigeonhole principle two signatures that differ in at most ``CHUNKS * (errors + 1) - 1`` symbols agree, up to ``errors`` symbols, in
 some chunk. All error patterns of each chunk are enumerated as keys (the chunk without the symbols in error), so every pair within the distance
-meets in an equi-join. A pair that meets is dropped only if its sizes or its parity sketches prove it too different; all others are verified exactly
+meets under one key: rows are sorted by key once and compared in batches, those of very frequent keys in a shuffled join. A pair that meets is dropped only if its sizes or its parity sketches prove it too different; all others are verified exactly
 on the word multisets.
 
 Records with equal multisets are one representative, so a group of copies of any size enters the join once.
@@ -178,6 +178,82 @@ def chunk_keys(representatives: DataFrame) -> DataFrame:
     return representatives.select("rep", "signature", *SKETCHED).mapInPandas(run, "rep long, key long, n int, " + ", ".join(f"s{i} long" for i in range(LANES)))
 
 
+#: Rows of a key up to which one task compares them; those of a key with more meet in a shuffled join, whose skewed partitions are split.
+HOT = 100_000
+#: Rows compared together, and pairs handed on together.
+HELD = 100_000
+
+
+def pairs_within(key: np.ndarray, rep: np.ndarray, n: np.ndarray, lanes: list[np.ndarray], similarity: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(smaller reps, larger reps) of the pairs of rows with one key that ``possible`` allows; of rows sorted by key, without keys of more than ``most`` rows."""
+    share = n * ((1 - similarity) / (1 + similarity)) + 5e-7
+    size = np.diff(np.append(np.nonzero(np.diff(key, prepend=~key[:1]))[0], len(key)))
+    end = np.repeat(np.cumsum(size), size)
+    at = np.nonzero(np.repeat(size, size) <= most)[0]
+    step, held, found = 0, 0, []
+    while True:  # each row and the one so many steps on
+        step += 1
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        to = at + step
+        bits = np.zeros(len(at), np.uint16)
+        for lane in lanes:
+            bits += np.bitwise_count(lane[at] ^ lane[to])
+        near = np.nonzero(bits <= share[at] + share[to])[0]
+        p, q = at[near], to[near]
+        near = (n[p] >= similarity * n[q] - 1e-9) & (n[q] >= similarity * n[p] - 1e-9) & (rep[p] != rep[q])
+        p, q = rep[p[near]], rep[q[near]]
+        found.append((np.minimum(p, q), np.maximum(p, q)))
+        held += len(p)
+        if held > HELD:
+            yield tuple(map(np.concatenate, zip(*found)))
+            held, found = 0, []
+    if held:
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
+def meeting(keys: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b), a < b: reps that share a key and that ``possible`` allows, once; or (key, null) of a key with more than ``most`` rows."""
+    columns = ["key", "rep", *SKETCHED]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def hot(found: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"a": found, "b": pd.array([None] * len(found), "Int64")})
+
+        def compared(rows: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+            key, rep, n, *lanes = rows
+            values, count = np.unique(key, return_counts=True)
+            if (count > most).any():
+                yield hot(values[count > most])
+            for a, b in pairs_within(key, rep, n, [x.view(np.uint64) for x in lanes], similarity, most):
+                yield pd.DataFrame({"a": a, "b": pd.array(b, "Int64")})
+
+        parts: list[list[np.ndarray]] = []
+        size, over = 0, None  # over: the key too frequent whose rows are passed over
+        for b in batches:
+            rows = [b[c].to_numpy() for c in columns]
+            if over is not None:
+                skip = int(np.searchsorted(rows[0], over, "right"))
+                rows = [x[skip:] for x in rows]
+            parts.append(rows)
+            size += len(rows[0])
+            if size >= HELD:
+                rows = [np.concatenate(x) for x in zip(*parts)]
+                last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
+                if last:
+                    yield from compared([x[:last] for x in rows])
+                parts, size = [[x[last:] for x in rows]], size - last
+                if size > most:
+                    over = rows[0][-1]
+                    yield hot(np.array([over]))
+                    parts, size = [], 0
+        if size:
+            yield from compared([np.concatenate(x) for x in zip(*parts)])
+
+    return keys.select(*columns).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+
+
 def merging(df: DataFrame) -> DataFrame:
     """``df`` as a side of a sort-merge join: all tables here grow with the records, and Spark takes those that come out of Python for smaller than they are, so none may be broadcast through the driver."""
     return df.hint("merge")
@@ -197,8 +273,12 @@ def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: floa
     reps = base.groupBy("same").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("signature", *SKETCHED)])
     members = members.join(merging(reps.select("same", "rep")), "same").select("id", "rep")
     keys = chunk_keys(reps)
-    met = keys.alias("x").join(merging(keys.alias("y")), F.expr(f"x.key = y.key and x.rep < y.rep and {possible('x', 'y', similarity)}"))
-    near = cut(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    met = cut(meeting(keys, similarity, HOT))
+    near, hot = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
+    if not hot.isEmpty():
+        rest = keys.join(merging(hot), "key", "left_semi")
+        among = rest.alias("x").join(merging(rest.alias("y")), F.expr(f"x.key = y.key and x.rep < y.rep and {possible('x', 'y', similarity)}"))
+        near = cut(near.unionByName(among.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct())
     involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = multisets(rows.join(merging(involved), "id", "left_semi")).distinct()
     left, right = (merging(sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}"))) for x in "ab")

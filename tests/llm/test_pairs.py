@@ -144,6 +144,34 @@ def test_near_copies_broadcast_nothing(spark, monkeypatch):
     assert not any("Broadcast" in t for t in texts)
 
 
+@pytest.mark.parametrize(("most", "held"), [(100_000, 100_000), (100_000, 5), (4, 5), (1, 100_000)])
+def test_near_copies_meet_under_keys_cut_anywhere(spark, monkeypatch, most, held):
+    """Sorted once and without a join, rows of a key are paired however batches and parts cut them; keys with too many rows are named instead."""
+    monkeypatch.setattr(nearcopies, "HELD", held)
+    monkeypatch.setattr(nearcopies, "HOT", most)
+    rows = corpus(8, 60)
+    df = spark.createDataFrame(rows, "id long, text string")
+    keys = nearcopies.chunk_keys(nearcopies.profiles(df).withColumn("rep", F.floor(F.col("id") / 2))).persist()
+    count = Counter(r.key for r in keys.collect())
+    frequent = {k for k, n in count.items() if n > most}
+    assert max(count.values()) > 4
+    joined = keys.alias("x").join(keys.alias("y"), F.expr(f"x.key = y.key and x.rep < y.rep and {nearcopies.possible('x', 'y', 0.7)}"))
+    want = {(r.a, r.b) for r in joined.selectExpr("x.key", "x.rep a", "y.rep b").collect() if r.key not in frequent} | {(k, None) for k in frequent}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3 if held == 5 else 10_000)
+    try:
+        met = nearcopies.meeting(keys, 0.7, most)
+        got = [(r.a, r.b) for r in met.collect()]
+        bags = {i: bag(t) for i, t in rows}
+        pairs = {(r.a, r.b) for r in nearcopies.expanded(*nearcopies.near_copies(df, "id", "text")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        keys.unpersist()
+    assert set(got) == want and len(got) == len(want) and (most == 1 or len(want) > 20)
+    assert "SortMergeJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    like = {(i, j) for i in bags for j in bags if i < j and jaccard(bags[i], bags[j]) >= 0.7}
+    assert pairs <= like and len(pairs) >= 0.97 * len(like)
+
+
 def questions(seed, n, prefix):
     rng = random.Random(seed)
     return [(f"{prefix}{i}", f"How many days may {name(rng)} staff of {name(rng)} {name(rng)} keep the {name(rng)} files when the {name(rng)} box is full under rule {rng.randrange(10000)}") for i in range(n)]
