@@ -1,8 +1,6 @@
 """Personal information in free text, tagged by a character-level bidirectional LSTM with CRF transitions.
 
-Every character is one symbol. Stretches that can hold personal information at all (a mail sign or its spelling, six digits in a row of number
-characters, a house number beside a capital, two capitalised words in a row, texts of one letter case) are read with ``CONTEXT`` characters around them;
-the rest of a text is known to be free of it by the definition of the kinds and is not read by the network. The stretches are cut into overlapping windows that go through
+Every character is one symbol, and all of a text is read: it is cut into overlapping windows that go through
 the LSTM in both directions; where windows overlap, each position keeps the scores of the window it lies deeper in, and one Viterbi pass over
 the whole text decodes the reconciled scores. The spans are the decoder's: they are only moved to the borders of the words they touch, and dropped
 where the definition of their kind cannot hold (a street address without a number). The weights were trained by ``pii_train`` with numpy.
@@ -26,39 +24,31 @@ KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 WINDOW, OVERLAP = 256, 64
-#: Characters read before and after a stretch that may hold personal information.
-CONTEXT = 36
 #: Windows computed together.
 GROUP = 512
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n.,;:!?'\"()[]{}<>@+-_/\\|#*%&=$€º~^`"
 OTHER, OTHER_LOWER, OTHER_UPPER = range(len(ALPHABET) + 1, len(ALPHABET) + 4)
 SYMBOLS = len(ALPHABET) + 4
-LOWER, UPPER, DIGIT, NUMBER, NEWLINE = 1, 2, 4, 8, 16
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and class of every code point of the basic plane; letters with marks are read as their base letters."""
-    symbol, kind = np.full(0x10000, OTHER, np.uint8), np.zeros(0x10000, np.uint8)
+def _symbols() -> np.ndarray:
+    """Symbol of every code point of the basic plane; letters with marks are read as their base letters."""
+    symbol = np.full(0x10000, OTHER, np.uint8)
     for c in range(0x10000):
         x = chr(c)
         if x.islower():
-            kind[c], symbol[c] = LOWER, OTHER_LOWER
+            symbol[c] = OTHER_LOWER
         elif x.isupper() or x.isalpha():
-            kind[c], symbol[c] = UPPER, OTHER_UPPER
-        elif x.isdigit():
-            kind[c] = DIGIT | NUMBER
+            symbol[c] = OTHER_UPPER
         if c < 0x2100 or 0xFB00 <= c < 0xFF60:
             base = unicodedata.normalize("NFKD", x)[:1]
             base = {"’": "'", "‘": "'", "ʼ": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "‐": "-", "‑": "-", "ß": "s", "ı": "i", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "\t": " ", "\xa0": " ", "\r": "\n"}.get(x, base)
             if base and base in ALPHABET:
                 symbol[c] = ALPHABET.index(base) + 1
-    for x in " ().-/+":
-        kind[ord(x)] |= NUMBER
-    kind[0x0A] |= NEWLINE
-    return symbol, kind
+    return symbol
 
 
-SYMBOL, CLASS = _tables()
+SYMBOL = _symbols()
 #: Short words that begin or join phrases; a capitalised one is no given name, and one with a number is no street (fixed values).
 JOINING = frozenset(
     "the a an in on at of to for from by with and or if when while where once after before since between until under over no not only each every both all this that these those it its as is are was than then should must may can will "
@@ -67,10 +57,6 @@ JOINING = frozenset(
     "el los las una unos al del y o con sin para por desde tras ninguna cada solo según "
     "january february march april june july august september october november december januar februar märz mai juni juli oktober dezember".split()
 )
-PARTICLES = frozenset("van von de del der di da al bin ben la le den ter ten zu".split())
-#: Spelt mail signs and words for streets that stand in lower case (fixed values).
-SPELT = ("[at", "(at", "{at", "[ at", "( at", "[ät", "(ät", "arroba", "ARROBA", " dot ", " DOT ", "[dot", "(dot", "[DOT", "[AT", "(AT", "punto", "PUNTO", " punkt", "[punkt", "(punkt", " point ", "[point", "(point")
-STREETS = (" rue ", " avenue ", " boulevard ", " allée ", " impasse ", " chemin ", " quai ", " route ", "calle ", "avenida ", "plaza ", "paseo ", " via ", "straße ", "strasse ", "gasse ", "weg ", "platz ", "allee ", "straat ", "gatan ", "C/", "str. ")
 
 
 def codes(text: str) -> np.ndarray:
@@ -80,93 +66,13 @@ def codes(text: str) -> np.ndarray:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged (start, end) of the parts of a text that may hold personal information, with context; in order, apart from one another."""
+    """(start, end) of the parts of a text that are read: all of it."""
     return [(lo, hi) for _, lo, hi in parts_of([text])[1]]
 
 
-#: Stands between texts that are searched together: no rule reaches across it.
-BETWEEN = "\n" * 4
-
-
 def parts_of(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """(symbols of all texts, one after another with BETWEEN; (text, start, end) of the stretches of each text)."""
-    text = BETWEEN.join([*texts, "- a b c d"])  # the rules for neighbouring words may look four words ahead
-    code = codes(text)
-    kind = CLASS[code]
-    upper, lower, digit = (kind & UPPER) > 0, (kind & LOWER) > 0, (kind & DIGIT) > 0
-    n = len(code)
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
-    first = np.cumsum(length + len(BETWEEN)) - length - len(BETWEEN)
-    spots: list[tuple[int, int]] = []
-    # texts without a capital are read whole
-    capitals = np.concatenate([[0], np.cumsum(upper)])
-    for k in np.nonzero((capitals[np.minimum(first + length, n)] == capitals[np.minimum(first, n)]) & (length > 0))[0].tolist():
-        spots.append((int(first[k]), int(first[k] + length[k])))
-    # runs of number characters and capitals with six digits or more, plain dates aside
-    d = digit.copy()
-    if n >= 10:
-        dot = code == 46
-        m = n - 9
-        date = dot[2 : 2 + m] & dot[5 : 5 + m]
-        for k in (0, 1, 3, 4, 6, 7, 8, 9):
-            date &= digit[k : k + m]
-        at = np.nonzero(date)[0]
-        at = at[((at == 0) | ~digit[np.maximum(at - 1, 0)]) & ((at + 10 >= n) | ~digit[np.minimum(at + 10, n - 1)])]
-        d[(at[:, None] + np.arange(10)).ravel()] = False
-    where = np.nonzero(d)[0]
-    if len(where):
-        run = np.cumsum(~(((kind & NUMBER) > 0) | upper))[where]
-        new = np.nonzero(np.diff(run, prepend=-1))[0]
-        count = np.diff(np.append(new, len(run)))
-        many = count >= 6
-        spots += zip(where[new[many]].tolist(), (where[new[many] + count[many] - 1] + 1).tolist())
-    for words, reach in ((("@", *SPELT), 24), (STREETS, 12)):
-        for w in words:
-            at = text.find(w)
-            while at >= 0:
-                spots.append((at - reach, at + len(w) + reach))
-                at = text.find(w, at + 1)
-    # capitalised words beside one another, or beside a house number
-    word = upper | lower | digit
-    edge = np.diff(word.view(np.int8), prepend=0, append=0)
-    start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    if len(texts):
-        cap, size = upper[start], end - start
-        number = digit[start] & (size <= 5)
-        near = (start[1:] - end[:-1]) <= 3
-        both = near & ((cap[:-1] & cap[1:]) | (number[:-1] & cap[1:]) | (cap[:-1] & number[1:]))
-        over = cap[:-2] & cap[2:] & near[:-1] & near[1:] & ~cap[1:-1] & (size[1:-1] <= 3)
-        over3 = cap[:-3] & cap[3:] & near[:-2] & near[1:-1] & near[2:] & ~cap[1:-2] & ~cap[2:-1] & (size[1:-2] <= 3) & (size[2:-1] <= 3)
-        start, end, size = start.tolist(), end.tolist(), size.tolist()
-        for k in np.nonzero(both)[0].tolist():
-            a, b = text[start[k] : end[k]], text[start[k + 1] : end[k + 1]]
-            initial = len(a) == 1 and text[end[k] : end[k] + 1] == "."
-            if (a.lower() in JOINING and not initial) or (b.lower() in JOINING and not a[0].isdigit() and text[end[k + 1] : end[k + 1] + 1] not in "'’"):
-                continue
-            if a[0].isdigit() or b[0].isdigit():
-                if (a[0].isdigit() and b.isupper() and len(b) > 1) or (b[0].isdigit() and size[k] <= 2) or (a[0].isdigit() and b.lower() in JOINING):
-                    continue
-            elif size[k + 1] <= 2 and b.isupper() and text[end[k + 1] : end[k + 1] + 1] == "-":
-                continue  # the head of a code
-            spots.append((start[k], end[k + 1]))
-        for reach, flags in ((2, over), (3, over3)):
-            for k in np.nonzero(flags)[0].tolist():
-                if text[start[k + 1] : end[k + 1]] in PARTICLES and text[start[k] : end[k]].lower() not in JOINING:
-                    spots.append((start[k], end[k + reach]))
-    if not spots:
-        return SYMBOL[code], []
-    lo, hi = np.array(spots, np.int64).T
-    own = np.maximum(np.searchsorted(first, (lo + hi) // 2, "right") - 1, 0)
-    lo, hi = np.maximum(lo - CONTEXT, first[own]), np.minimum(hi + CONTEXT, first[own] + length[own])
-    order = np.argsort(lo, kind="stable")
-    order = order[(hi > lo)[order]]
-    lo, hi, own = lo[order], hi[order], own[order]
-    reach = np.maximum.accumulate(hi)
-    new = np.concatenate([[True], (lo[1:] > reach[:-1]) | (own[1:] != own[:-1])])[: len(lo)]
-    at = np.nonzero(new)[0]
-    last = np.append(at[1:], len(lo)) - 1
-    k = own[at]
-    return SYMBOL[code], list(zip(k.tolist(), (lo[at] - first[k]).tolist(), (reach[last] - first[k]).tolist()))
+    """(symbols of all texts, one after another; (text, start, end) of what is read of each text: all of it, without empty texts)."""
+    return SYMBOL[codes("".join(texts))], [(k, 0, len(t)) for k, t in enumerate(texts) if t]
 
 
 class Tagger:
@@ -177,39 +83,41 @@ class Tagger:
             w = {k: z[k].astype(np.float32) for k in z.files}
         self.hidden = h = w["Wh_f"].shape[0]
         half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(np.float32)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-        self.table = {d: ((w["E"] @ w[f"Wx_{d}"] + w[f"b_{d}"]) * half).astype(np.float32) for d in "fb"}
-        self.recur = {d: np.ascontiguousarray(w[f"Wh_{d}"] * half) for d in "fb"}
-        self.out, self.bias, self.trans, self.start = w["Wo"], w["bo"], w["trans"], w["start"]
+        self.table = {d: np.ascontiguousarray(((w["E"] @ w[f"Wx_{d}"] + w[f"b_{d}"]) * half).astype(np.float32).reshape(-1, 4, h).transpose(1, 0, 2)) for d in "fb"}
+        self.recur = {d: np.ascontiguousarray(w[f"Wh_{d}"] * half * np.float32(0.5)) for d in "fb"}  # of states, which are kept doubled
+        self.out, self.bias, self.trans, self.start = w["Wo"] * np.float32(0.5), w["bo"], w["trans"], w["start"]
         t = self.trans
-        before = np.concatenate([t, self.start[None]])  # a position follows any tag or starts the text, and precedes any tag or ends it
-        after = np.concatenate([t, np.zeros((len(t), 1), np.float32)], axis=1)
         inner, enter, leave = t[1:, 1:] - t[0, 0], t[0, 1:] - t[0, 0], t[1:, 0] - t[0, 0]
         self.inner = max(0.0, float(inner.max()))
         self.cost = self.inner - float(enter.max()) - float(leave.max())
-        self.swing = float((before[:, :, None] + after[None] - before[:, :1, None] - after[None, :1]).max())
+        #: How much less a run costs that begins or ends with its text.
+        self.at_start = max(0.0, float((self.start[1:] - self.start[0]).max() - enter.max()))
+        self.at_end = max(0.0, -float(leave.max()))
 
     def _run(self, symbols: np.ndarray, d: str) -> np.ndarray:
-        """States, (steps, n, hidden), of (steps, n) symbols."""
+        """Doubled states, (steps, n, hidden), of (steps, n) symbols; the gates lie apart, cells are doubled too."""
         steps, n = symbols.shape
         h = self.hidden
         table, recur = self.table[d], self.recur[d]
         state, cell, fresh = (np.zeros((n, h), np.float32) for _ in range(3))
-        z, w = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
+        z, w = np.empty((4, n, h), np.float32), np.empty((n, 4 * h), np.float32)
+        gates = w.reshape(n, 4, h).transpose(1, 0, 2)
         out = np.empty((steps, n, h), np.float32)
         for t in range(steps):
-            np.take(table, symbols[t], axis=0, out=z, mode="clip")
+            for gate in range(4):
+                np.take(table[gate], symbols[t], axis=0, out=z[gate], mode="clip")
             np.matmul(state, recur, out=w)
-            z += w
+            z += gates
             np.tanh(z, out=z)
-            np.copyto(fresh, z[:, 3 * h :])
-            z *= 0.5
-            z += 0.5
-            cell *= z[:, h : 2 * h]
-            fresh *= z[:, :h]
-            cell += fresh
+            z[:3] += 1
+            cell *= z[1]
+            cell *= 0.5
+            z[0] *= z[3]
+            cell += z[0]
+            np.multiply(cell, 0.5, out=fresh)
             state = out[t]
-            np.tanh(cell, out=state)
-            state *= z[:, 2 * h : 3 * h]
+            np.tanh(fresh, out=state)
+            state *= z[2]
         return out
 
     def scores(self, windows: list[np.ndarray]) -> list[np.ndarray]:
@@ -220,13 +128,13 @@ class Tagger:
         for at in range(0, len(order), GROUP):
             part = order[at : at + GROUP]
             steps = len(windows[part[-1]])
-            forward = np.zeros((steps, len(part)), np.int64)
-            backward = np.zeros((steps, len(part)), np.int64)
+            forward = np.zeros((len(part), steps), np.int64)
+            backward = np.zeros((len(part), steps), np.int64)
             for row, i in enumerate(part):
                 x = windows[i]
-                forward[: len(x), row] = x
-                backward[: len(x), row] = x[::-1]
-            f, b = self._run(forward, "f") @ self.out[:h], self._run(backward, "b") @ self.out[h:]
+                forward[row, : len(x)] = x
+                backward[row, : len(x)] = x[::-1]
+            f, b = ((self._run(np.ascontiguousarray(x.T), d).reshape(-1, h) @ o).reshape(steps, len(part), -1) for x, d, o in ((forward, "f", self.out[:h]), (backward, "b", self.out[h:])))
             for row, i in enumerate(part):
                 n = len(windows[i])
                 found[i] = f[:n, row] + b[:n, row][::-1] + self.bias
@@ -235,8 +143,8 @@ class Tagger:
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """The best tag sequences, by Viterbi; sequences of similar length are decoded together.
 
-        Where the empty tag leads by more than any two transitions can make up for, no best path has another tag: only the runs between are decoded,
-        and of those that touch neither end only the ones whose positive leads together can pay for entering and leaving another tag.
+        A run of other tags must win back, over the empty tag, what entering and leaving it costs: only positions in some stretch whose leads together can
+        pay for that are decoded, all others have the empty tag on every best path.
         """
         out = [np.zeros(len(e), np.int8) for e in emissions]
         if not out:
@@ -248,37 +156,48 @@ class Tagger:
         for k in range(2, e.shape[1]):
             np.maximum(best, e[:, k], out=best)
         lead = best - e[:, 0]
-        open_ = np.nonzero(lead >= -self.swing)[0]
+        # the most that a stretch through each position can win: highest sum after it less lowest sum before it, in its own text
+        text = np.repeat(np.arange(len(size)), size)
+        win = lead.astype(np.float64) + self.inner
+        total = np.concatenate([[0], np.cumsum(win)])
+        before, after = total[:-1] - total[first][text], total[1:] - total[first][text]
+        there = size > 0
+        before[first[there]] -= self.at_start
+        after[(first + size - 1)[there]] += self.at_end
+        apart = text * (4 * float(np.abs(win).sum()) + 4 * (self.at_start + self.at_end) + 1)  # each text far below the one before it
+        most = np.maximum.accumulate((after - apart)[::-1])[::-1] - np.minimum.accumulate(before - apart)
+        open_ = np.nonzero(most >= self.cost - 0.05)[0]
         if not len(open_):
             return out
-        own = np.searchsorted(first, open_, "right") - 1
+        own = text[open_]
         gaps = np.nonzero((np.diff(open_) > 2) | (np.diff(own) > 0))[0]
         lo, hi = open_[np.append(0, gaps + 1)], open_[np.append(gaps, len(open_) - 1)] + 1
         own = own[np.append(0, gaps + 1)]
-        gain = np.concatenate([[0], np.cumsum(np.maximum(lead + self.inner, 0), dtype=np.float64)])
-        worth = (gain[hi] - gain[lo] >= self.cost) | (lo == first[own]) | (hi == first[own] + size[own])
-        runs = list(zip(own[worth].tolist(), (lo - first[own])[worth].tolist(), (hi - first[own])[worth].tolist()))
+        runs = list(zip(own.tolist(), (lo - first[own]).tolist(), (hi - first[own]).tolist()))
         runs.sort(key=lambda r: r[2] - r[1])
         tags = len(self.bias)
         for at in range(0, len(runs), 2048):
             part = runs[at : at + 2048]
             size = np.array([hi - lo for _, lo, hi in part])
-            x = np.zeros((int(size.max()), len(part), tags), np.float32)
+            x = np.zeros((int(size.max()), tags, len(part)), np.float32)
             for j, (k, lo, hi) in enumerate(part):
-                x[: hi - lo, j] = emissions[k][lo:hi]
-            inner = np.array([lo > 0 for _, lo, _ in part])[:, None]
-            score = x[0] + np.where(inner, self.trans[0], self.start)
-            back = np.zeros((len(x), len(part), tags), np.int8)
+                x[: hi - lo, :, j] = emissions[k][lo:hi]
+            inner = np.array([lo > 0 for _, lo, _ in part])
+            score = x[0] + np.where(inner, self.trans[0][:, None], self.start[:, None])
+            back = np.zeros((len(x), tags, len(part)), np.int8)
             for t in range(1, len(x)):
-                step = score[:, :, None] + self.trans
-                back[t] = step.argmax(axis=1)
-                score = np.where((t < size)[:, None], step.max(axis=1) + x[t], score)
-            goes_on = np.array([hi < len(emissions[k]) for k, _, hi in part])[:, None]
-            tag = (score + np.where(goes_on, self.trans[:, 0], 0)).argmax(axis=1)
+                best = score[0] + self.trans[0][:, None]
+                for k in range(1, tags):
+                    step = score[k] + self.trans[k][:, None]
+                    back[t][step > best] = k
+                    np.maximum(best, step, out=best)
+                score = np.where(t < size, best + x[t], score)
+            goes_on = np.array([hi < len(emissions[k]) for k, _, hi in part])
+            tag = (score + np.where(goes_on, self.trans[:, :1], 0)).argmax(axis=0)
             found, rows = np.zeros((len(x), len(part)), np.int8), np.arange(len(part))
             for t in range(len(x) - 1, -1, -1):
                 found[t] = tag
-                tag = np.where(t < size, back[t, rows, tag], tag)
+                tag = np.where(t < size, back[t, tag, rows], tag)
             for j, (k, lo, hi) in enumerate(part):
                 out[k][lo:hi] = found[: hi - lo, j]
         return out
@@ -288,7 +207,7 @@ class Tagger:
         windows, places = [], []  # places: (stretch, offset within it, positions to skip)
         step = WINDOW - OVERLAP
         symbols, parts = parts_of(texts)
-        first = np.cumsum([0, *(len(t) + len(BETWEEN) for t in texts)]).tolist()
+        first = np.cumsum([0, *map(len, texts)]).tolist()
         for j, (k, lo, hi) in enumerate(parts):
             x = symbols[first[k] + lo : first[k] + hi]
             at = 0

@@ -183,6 +183,41 @@ def test_stretches_hold_every_composed_span():
     assert together == [(k, lo, hi) for k, t in enumerate(texts) for lo, hi in pii.stretches(t)]
 
 
+def test_whole_texts_are_read():
+    """No rule decides what the network is shown: an address beside no capital and no known street word is found, and windows cover every position."""
+    t = pii.Tagger()
+    text = "Wir wohnen jetzt in der 105 place Bellecour."
+    assert [(text[lo:hi], k) for lo, hi, k in pii.bordered(text, t.tag([text])[0])] == [("105 place Bellecour", "street_address")]
+    texts = ["nothing to be seen here. " * 60, "", "One plain Sentence without any cue.", "x"]
+    assert [pii.stretches(x) for x in texts] == [[(0, len(x))] if x else [] for x in texts]
+    shown = []
+    scores = t.scores
+    t.scores = lambda windows: (shown.extend(map(len, windows)), scores(windows))[1]
+    t.tag(texts)
+    assert sum(shown) == sum(max(len(x), 0) + pii.OVERLAP * max(0, -(-(len(x) - pii.WINDOW) // (pii.WINDOW - pii.OVERLAP))) for x in texts)
+
+
+def test_decoding_leaves_out_only_what_cannot_win():
+    """Long sequences with few tags: the same as a full Viterbi pass, at borders and within."""
+    t = pii.Tagger()
+    rng = np.random.default_rng(4)
+    many = [(rng.normal(0, scale, (int(rng.integers(1, 80)), 6)) + np.array([lead, 0, 0, 0, 0, 0])).astype(np.float32) for scale in (2, 4, 6) for lead in (2, 5, 9) for _ in range(60)]
+    many.append(np.zeros((0, 6), np.float32))
+    tagged = 0
+    for e, tags in zip(many[:-1], t.decode(many)):
+        score, back = t.start + e[0], []
+        for x in e[1:]:
+            step = score[:, None] + t.trans
+            back.append(step.argmax(axis=0))
+            score = step.max(axis=0) + x
+        path = [int(score.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        assert tags.tolist() == path[::-1]
+        tagged += int((tags > 0).sum())
+    assert tagged > 1000
+
+
 def test_training_learns_a_little(tmp_path, monkeypatch):
     from lakewarden.llm import pii_train
 
