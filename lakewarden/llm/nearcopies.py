@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm.bitmaps import among, bitmap
 from lakewarden.llm.wordcodes import Codes, codes_of
 from lakewarden.runtime import cut, spread
 
@@ -72,12 +73,18 @@ def parities(element: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-def multisets(records: DataFrame) -> DataFrame:
-    """(id, elements): the sorted hashes, ELEMENT_BYTES each, of a record's (word, occurrence) elements."""
+#: Bits of the filter of the records that are in a pair: 16 MB, however many they are.
+INVOLVED_BITS = 27
+
+
+def multisets(records: DataFrame, involved: np.ndarray | None = None) -> DataFrame:
+    """(id, elements): the sorted hashes, ELEMENT_BYTES each, of a record's (word, occurrence) elements; only of records whose xxhash64(id) may be among ``involved``, if given."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Codes()
         for b in batches:
+            if involved is not None:
+                b = b[among(involved, b["hash"].to_numpy(np.int64))]
             rows = []
             for i, text in zip(b["id"], b["text"]):
                 c = codes_of(text, memo) if text else np.zeros(0, np.int64)
@@ -86,7 +93,7 @@ def multisets(records: DataFrame) -> DataFrame:
                     rows.append((i, packed(element)))
             yield pd.DataFrame(rows, columns=["id", "elements"])
 
-    return records.mapInPandas(run, "id long, elements binary")
+    return records.select("id", "text", F.xxhash64("id").alias("hash")).mapInPandas(run, "id long, elements binary")
 
 
 #: 48 bits: two different elements of texts of a hundred thousand words collide with a chance below one in ten thousand a pair of texts.
@@ -280,7 +287,7 @@ def near_copies(records: DataFrame, id_col: str, text_col: str, similarity: floa
         among = rest.alias("x").join(merging(rest.alias("y")), F.expr(f"x.key = y.key and x.rep < y.rep and {possible('x', 'y', similarity)}"))
         near = cut(near.unionByName(among.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct())
     involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = multisets(rows.join(merging(involved), "id", "left_semi")).distinct()
+    sets = multisets(rows, bitmap(involved.select(F.xxhash64("id").alias("hash")), "hash", INVOLVED_BITS)).distinct()  # texts themselves are not shuffled
     left, right = (merging(sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}"))) for x in "ab")
     both = near.join(left, "a").join(right, "b")
 

@@ -144,6 +144,15 @@ def test_near_copies_broadcast_nothing(spark, monkeypatch):
     assert not any("Broadcast" in t for t in texts)
 
 
+def test_near_copies_verify_without_moving_texts(spark):
+    """Only records in a pair have their multisets made, where their texts are read: no text goes through a join."""
+    df = spark.createDataFrame(corpus(9, 40), "id long, text string")
+    only = nearcopies.bitmap(df.where("id in (3, 5)").select(F.xxhash64("id").alias("hash")), "hash", nearcopies.INVOLVED_BITS)
+    assert sorted(r.id for r in nearcopies.multisets(df, only).collect()) == [3, 5] and nearcopies.multisets(df).count() == 40
+    pairs = nearcopies.near_copies(df, "id", "text")[1]
+    assert pairs.count() > 5 and "LeftSemi" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("most", "held"), [(100_000, 100_000), (100_000, 5), (4, 5), (1, 100_000)])
 def test_near_copies_meet_under_keys_cut_anywhere(spark, monkeypatch, most, held):
     """Sorted once and without a join, rows of a key are paired however batches and parts cut them; keys with too many rows are named instead."""
