@@ -75,6 +75,14 @@ def parts_of(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return SYMBOL[codes("".join(texts))], [(k, 0, len(t)) for k, t in enumerate(texts) if t]
 
 
+class Windows(list):
+    """Windows of symbols; ``spare`` holds for each how many places at its start and at its end another window scores better."""
+
+    def __init__(self, windows=(), spare=()):
+        super().__init__(windows)
+        self.spare = list(spare)
+
+
 class Tagger:
     """Weights of the network, ready to score symbols."""
 
@@ -84,8 +92,12 @@ class Tagger:
         self.hidden = h = w["Wh_f"].shape[0]
         half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(np.float32)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
         self.table = {d: np.ascontiguousarray(((w["E"] @ w[f"Wx_{d}"] + w[f"b_{d}"]) * half).astype(np.float32).reshape(-1, 4, h).transpose(1, 0, 2)) for d in "fb"}
-        self.recur = {d: np.ascontiguousarray(w[f"Wh_{d}"] * half * np.float32(0.5)) for d in "fb"}  # of states, which are kept doubled
-        self.out, self.bias, self.trans, self.start = w["Wo"] * np.float32(0.5), w["bo"], w["trans"], w["start"]
+        # of states, which are kept doubled: the three sigmoid gates apart, and the fourth beside the scores
+        self.recur, self.last = {}, {}
+        for d, out in (("f", w["Wo"][:h]), ("b", w["Wo"][h:])):
+            x = np.hstack([w[f"Wh_{d}"] * half, out]) * np.float32(0.5)
+            self.recur[d], self.last[d] = np.ascontiguousarray(x[:, : 3 * h].reshape(h, 3, h).transpose(1, 0, 2)), np.ascontiguousarray(x[:, 3 * h :])
+        self.bias, self.trans, self.start = w["bo"], w["trans"], w["start"]
         t = self.trans
         inner, enter, leave = t[1:, 1:] - t[0, 0], t[0, 1:] - t[0, 0], t[1:, 0] - t[0, 0]
         self.inner = max(0.0, float(inner.max()))
@@ -95,49 +107,56 @@ class Tagger:
         self.at_end = max(0.0, -float(leave.max()))
 
     def _run(self, symbols: np.ndarray, d: str) -> np.ndarray:
-        """Doubled states, (steps, n, hidden), of (steps, n) symbols; the gates lie apart, cells are doubled too."""
+        """Scores, (n, steps, tags), of (steps, n) symbols in one direction; the gates lie apart, states are doubled."""
         steps, n = symbols.shape
-        h = self.hidden
-        table, recur = self.table[d], self.recur[d]
-        state, cell, fresh = (np.zeros((n, h), np.float32) for _ in range(3))
-        z, w = np.empty((4, n, h), np.float32), np.empty((n, 4 * h), np.float32)
-        gates = w.reshape(n, 4, h).transpose(1, 0, 2)
-        out = np.empty((steps, n, h), np.float32)
+        h, recur, last = self.hidden, self.recur[d], self.last[d]
+        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        z, w, v = np.empty((4, n, h), np.float32), np.empty((3, n, h), np.float32), np.empty((n, last.shape[1]), np.float32)
+        fourth, score = v[:, :h], v[:, h:]  # the scores are of the step before
+        lookups = [(gate.take, to) for gate, to in zip(self.table[d], z)]
+        sigmoids, (enter, keep, leave, new) = z[:3], z
+        one, half = np.float32(1), np.float32(0.5)
+        out = np.empty((n, steps, score.shape[1]), np.float32)
         for t in range(steps):
-            for gate in range(4):
-                np.take(table[gate], symbols[t], axis=0, out=z[gate], mode="clip")
+            for take, to in lookups:
+                take(symbols[t], 0, to, "clip")
             np.matmul(state, recur, out=w)
-            z += gates
+            np.matmul(state, last, out=v)
+            if t:
+                out[:, t - 1] = score
+            np.add(sigmoids, w, out=sigmoids)
+            np.add(new, fourth, out=new)
             np.tanh(z, out=z)
-            z[:3] += 1
-            cell *= z[1]
-            cell *= 0.5
-            z[0] *= z[3]
-            cell += z[0]
-            np.multiply(cell, 0.5, out=fresh)
-            state = out[t]
-            np.tanh(fresh, out=state)
-            state *= z[2]
+            np.add(sigmoids, one, out=sigmoids)
+            np.multiply(cell, keep, out=cell)
+            np.multiply(enter, new, out=enter)
+            np.add(cell, enter, out=cell)
+            np.multiply(cell, half, out=cell)
+            np.tanh(cell, out=state)
+            np.multiply(state, leave, out=state)
+        out[:, -1] = state @ last[:, h:]
         return out
 
     def scores(self, windows: list[np.ndarray]) -> list[np.ndarray]:
-        """(length, tags) emissions of each window; windows of similar length are computed together."""
-        order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
-        found: list = [None] * len(windows)
-        h = self.hidden
-        for at in range(0, len(order), GROUP):
-            part = order[at : at + GROUP]
-            steps = len(windows[part[-1]])
-            forward = np.zeros((len(part), steps), np.int64)
-            backward = np.zeros((len(part), steps), np.int64)
-            for row, i in enumerate(part):
-                x = windows[i]
-                forward[row, : len(x)] = x
-                backward[row, : len(x)] = x[::-1]
-            f, b = ((self._run(np.ascontiguousarray(x.T), d).reshape(-1, h) @ o).reshape(steps, len(part), -1) for x, d, o in ((forward, "f", self.out[:h]), (backward, "b", self.out[h:])))
-            for row, i in enumerate(part):
-                n = len(windows[i])
-                found[i] = f[:n, row] + b[:n, row][::-1] + self.bias
+        """(length, tags) emissions of each window, not final in its spare places; parts of similar length are computed together.
+
+        The spare places at the end of a window are not read forward and those at its start not backward: no other place needs their states.
+        """
+        found = [np.zeros((len(x), len(self.bias)), np.float32) for x in windows]
+        spare = getattr(windows, "spare", None) or [(0, 0)] * len(windows)
+        for d in "fb":
+            size = [len(x) - (hi if d == "f" else lo) for x, (lo, hi) in zip(windows, spare)]
+            order = sorted(range(len(windows)), key=size.__getitem__)
+            for at in range(0, len(order), GROUP):
+                part = order[at : at + GROUP]
+                symbols = np.zeros((len(part), size[part[-1]]), np.uint8)
+                for row, i in enumerate(part):
+                    symbols[row, : size[i]] = windows[i][: size[i]] if d == "f" else windows[i][::-1][: size[i]]
+                for e, i in zip(self._run(symbols.T.astype(np.int64, order="C"), d), part):
+                    if d == "f":
+                        np.add(e[: size[i]], self.bias, out=found[i][: size[i]])
+                    else:
+                        found[i][len(windows[i]) - size[i] :] += e[: size[i]][::-1]
         return found
 
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
@@ -185,26 +204,28 @@ class Tagger:
             inner = np.array([lo > 0 for _, lo, _ in part])
             score = x[0] + np.where(inner, self.trans[0][:, None], self.start[:, None])
             back = np.zeros((len(x), tags, len(part)), np.int8)
+            ended = np.searchsorted(size, np.arange(len(x)), "right").tolist()  # so many of the runs, which are in order of length, are over at each step
             for t in range(1, len(x)):
-                best = score[0] + self.trans[0][:, None]
+                on = score[:, ended[t] :]
+                best, prior = on[0] + self.trans[0][:, None], back[t, :, ended[t] :]
                 for k in range(1, tags):
-                    step = score[k] + self.trans[k][:, None]
-                    back[t][step > best] = k
+                    step = on[k] + self.trans[k][:, None]
+                    np.copyto(prior, k, where=step > best)
                     np.maximum(best, step, out=best)
-                score = np.where(t < size, best + x[t], score)
+                np.add(best, x[t, :, ended[t] :], out=on)
             goes_on = np.array([hi < len(emissions[k]) for k, _, hi in part])
             tag = (score + np.where(goes_on, self.trans[:, :1], 0)).argmax(axis=0)
             found, rows = np.zeros((len(x), len(part)), np.int8), np.arange(len(part))
             for t in range(len(x) - 1, -1, -1):
                 found[t] = tag
-                tag = np.where(t < size, back[t, tag, rows], tag)
+                tag[ended[t] :] = back[t, tag[ended[t] :], rows[ended[t] :]]
             for j, (k, lo, hi) in enumerate(part):
                 out[k][lo:hi] = found[: hi - lo, j]
         return out
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Decoded (start, end, kind) spans of texts, as they come from the network."""
-        windows, places = [], []  # places: (stretch, offset within it, positions to skip)
+        windows, places = Windows(), []  # places: (stretch, offset within it)
         step = WINDOW - OVERLAP
         symbols, parts = parts_of(texts)
         first = np.cumsum([0, *map(len, texts)]).tolist()
@@ -214,13 +235,14 @@ class Tagger:
             while True:
                 windows.append(x[at : at + WINDOW])
                 # half of the overlap belongs to either window: the half it lies deeper in
-                places.append((j, at, OVERLAP // 2 if at else 0))
+                places.append((j, at))
+                windows.spare.append((OVERLAP // 2 if at else 0, OVERLAP // 2 if at + WINDOW < len(x) else 0))
                 if at + WINDOW >= len(x):
                     break
                 at += step
         emission = [np.empty((hi - lo, len(KINDS) + 1), np.float32) for _, lo, hi in parts]
-        for (j, at, skip), e in zip(places, self.scores(windows)):
-            emission[j][at + skip : at + len(e)] = e[skip:]
+        for (j, at), (lo, hi), e in zip(places, windows.spare, self.scores(windows)):
+            emission[j][at + lo : at + len(e) - hi] = e[lo : len(e) - hi]
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         for (k, lo, _), tags in zip(parts, self.decode(emission)):
             if tags.any():

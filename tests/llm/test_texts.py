@@ -197,6 +197,25 @@ def test_whole_texts_are_read():
     assert sum(shown) == sum(max(len(x), 0) + pii.OVERLAP * max(0, -(-(len(x) - pii.WINDOW) // (pii.WINDOW - pii.OVERLAP))) for x in texts)
 
 
+def test_no_state_is_computed_that_no_score_needs():
+    """Where windows overlap, neither direction goes on into the half that the other window scores; the scores used are those of whole windows."""
+    t = pii.Tagger()
+    texts = ["Please ask Margaret Whitaker, 14 Baker Street, or call 020 7946 0958. " * n for n in (1, 4, 9, 30)]
+    read, used, run, decode = [], [], t._run, t.decode
+    t._run = lambda symbols, d: (read.append((d, int((symbols > 0).sum()))), run(symbols, d))[1]
+    t.decode = lambda emissions: (used.extend(emissions), decode(emissions))[1]
+    t.tag(texts)
+    overlaps = sum(max(0, -(-(len(x) - pii.WINDOW) // (pii.WINDOW - pii.OVERLAP))) for x in texts)
+    for d in "fb":
+        assert sum(n for way, n in read if way == d) == sum(map(len, texts)) + pii.OVERLAP // 2 * overlaps
+    for text, e in zip(texts, used):
+        x = pii.parts_of([text])[0]
+        for at in range(0, max(1, len(x) - pii.OVERLAP), pii.WINDOW - pii.OVERLAP):
+            whole = t.scores([x[at : at + pii.WINDOW]])[0]
+            lo, hi = pii.OVERLAP // 2 if at else 0, len(whole) - (pii.OVERLAP // 2 if at + pii.WINDOW < len(x) else 0)
+            np.testing.assert_allclose(e[at + lo : at + hi], whole[lo:hi], atol=1e-4)
+
+
 def test_decoding_leaves_out_only_what_cannot_win():
     """Long sequences with few tags: the same as a full Viterbi pass, at borders and within."""
     t = pii.Tagger()
